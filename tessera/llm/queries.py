@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import quality_rules
+from tessera.llm import quality_rules, simhash
 
 _QUERIES = {
     "op1_quality_rules": quality_rules.op1_query,
+    "op2_simhash": simhash.op2_query,
 }
 _ORACLES: dict[str, str] = {}
 
