@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import quality_rules, simhash
+from tessera.llm import quality_rules, secret_scan, simhash
 
 _QUERIES = {
     "op1_quality_rules": quality_rules.op1_query,
     "op2_simhash": simhash.op2_query,
+    "op4_secret_scan": secret_scan.op4_query,
 }
 _ORACLES: dict[str, str] = {}
 
