@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import packing, pii, quality_rules, secret_scan, simhash
+from tessera.llm import decontamination, packing, pii, quality_rules, secret_scan, simhash
 
 _QUERIES = {
     "op1_quality_rules": quality_rules.op1_query,
@@ -10,6 +10,7 @@ _QUERIES = {
     "op4_secret_scan": secret_scan.op4_query,
     "op8_pii": pii.op8_query,
     "op9_packing": packing.op9_query,
+    "op5_decontamination": decontamination.op5_query,
 }
 _ORACLES: dict[str, str] = {}
 
