@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, packing, pii, quality_rules, secret_scan, simhash
+from tessera.llm import decontamination, packing, pii, quality_rules, secret_scan, sharding, simhash
 
 _QUERIES = {
     "op1_quality_rules": quality_rules.op1_query,
@@ -11,6 +11,7 @@ _QUERIES = {
     "op8_pii": pii.op8_query,
     "op9_packing": packing.op9_query,
     "op5_decontamination": decontamination.op5_query,
+    "op6_sharding": sharding.op6_query,
 }
 _ORACLES: dict[str, str] = {}
 
