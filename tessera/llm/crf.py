@@ -37,6 +37,13 @@ class ChainModel:
             found = self.known[names] = len(self.tables) - 1
         return found
 
+    def forget(self, most: int = 1 << 17) -> bool:
+        """Drops what ``number`` has learnt once it passes ``most``; numbers given before are then void."""
+        if len(self.known) <= most:
+            return False
+        self.tables, self.known = [], {}
+        return True
+
     def emissions(self, numbers: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """tokens x labels; first and last mark where sequences begin and end."""
         table = np.stack(self.tables).astype(np.float32)

@@ -234,6 +234,8 @@ def plausible(rank: int, words: list[str], before: str) -> bool:
 def field_spans(texts: list[str], model: ChainModel, numbers: _Numbers) -> dict[int, list[tuple[int, int, int]]]:
     """Text number to (start, rank, end) of the spans that the field adds; only texts that have some."""
     lines, owner, ids = [], [], []
+    if model.forget():
+        numbers.clear()
     for k, text in enumerate(texts):
         for line in text.encode().split(b"\n"):
             found = line.split()  # ASCII white space

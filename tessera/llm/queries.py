@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, packing, pii, quality_rules, secret_scan, sharding, simhash
+from tessera.llm import decontamination, html_text, packing, pii, quality_rules, secret_scan, sharding, simhash
 
 _QUERIES = {
     "op1_quality_rules": quality_rules.op1_query,
@@ -12,6 +12,7 @@ _QUERIES = {
     "op9_packing": packing.op9_query,
     "op5_decontamination": decontamination.op5_query,
     "op6_sharding": sharding.op6_query,
+    "op10_html_text": html_text.op10_query,
 }
 _ORACLES: dict[str, str] = {}
 
