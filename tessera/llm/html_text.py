@@ -145,6 +145,12 @@ def block_features(text: str, linked: float, ancestors: tuple) -> tuple:
         if name not in ("html", "body", "p", "div"):
             out.add("in=" + name)
         out.update("class=" + c for c in cues)
+    told = [c for _, cues in ancestors for c in cues]
+    if told:
+        out.add("inmost=" + told[-1])
+    names = [name for name, _ in ancestors]
+    if set(told) - {"main"} or {"nav", "footer", "form", "aside", "button", "label", "select"} & set(names) or ("header" in names and not {"article", "main"} & set(names)):
+        out.add("aside")
     if n < 30:
         out.update("stock=" + _STOCK[w] for w in {w.strip(".,:!?").lower() for w in words} if w in _STOCK)
     if len(ancestors) < 3:
@@ -169,7 +175,7 @@ def labelled_pages(count: int, seed: int) -> list[list[tuple[str, str]]]:
         return rng.choice(options)
 
     def wrap(name, attributes, inner):
-        closed = name not in ("article", "section") or rng.random() < 0.9
+        closed = name != "article" or rng.random() < 0.9
         return [(f"<{name}{attributes}>", ""), *inner, *([(f"</{name}>", "")] if closed else [])]
 
     def links(lo, hi, tag="li"):
@@ -277,7 +283,7 @@ def labelled_blocks(parts: list[tuple[str, str]]) -> tuple[list[tuple], list[str
 @functools.lru_cache(maxsize=2)
 def trained(count: int = 500, seed: int = 11) -> ChainModel:
     """The field trained on ``count`` labelled pages."""
-    return train([labelled_blocks(p) for p in labelled_pages(count, seed)], LABELS, epochs=40, decay=1e-3)
+    return train([labelled_blocks(p) for p in labelled_pages(count, seed)], LABELS, epochs=60, decay=1e-4)
 
 
 def main_texts(pages: list[str | None], model: ChainModel) -> list[str]:
