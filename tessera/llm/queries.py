@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, html_text, packing, pii, quality_rules, secret_scan, sharding, simhash, toxicity
+from tessera.llm import decontamination, html_text, packing, pii, quality_rules, secret_scan, sharding, simhash, suffix_dedup, toxicity
 
 _QUERIES = {
     "op1_quality_rules": quality_rules.op1_query,
@@ -14,6 +14,7 @@ _QUERIES = {
     "op6_sharding": sharding.op6_query,
     "op10_html_text": html_text.op10_query,
     "op3_toxicity": toxicity.op3_query,
+    "op7_suffix_dedup": suffix_dedup.op7_query,
 }
 _ORACLES: dict[str, str] = {}
 
