@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.tokens import WordTokens, default_path
+from tessera.llm.tokens import default_path, word_tokens
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 K1, B = 1.2, 0.75  # of BM25
@@ -131,7 +131,7 @@ def pack(
 
     def run(key, table):
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        tokens = WordTokens(path)
+        tokens = word_tokens(path)
         end = np.array([end_id], "<u4").tobytes()
         column = table.column("text")
         texts = [np.frombuffer(tokens.encode(x.as_py()) + end, "<u4") for x in column]
