@@ -54,7 +54,11 @@ def held_out(id_col):
 def learn_terms(texts: DataFrame, terms: int = 300, least: int = 5) -> dict[str, float]:
     """Terms of the labelled sample (text, toxic) with their log odds: the most telling ones."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1))
-    starts = [F.transform(F.filter(words, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.substring(w, 1, n)) for n in LENGTHS]
+
+    def beginnings(n: int):
+        return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.substring(w, 1, n))
+
+    starts = [beginnings(n) for n in LENGTHS]
     seen = texts.select("toxic", F.explode(F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(F.lit("="), w)), *starts))).alias("term"))
     counts = seen.groupBy("term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("n")).where(F.col("t") >= least)
     sizes = texts.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
