@@ -14,9 +14,9 @@ most are kept. Statistics about the corpus are none; every whole text is scored.
 
 Defined results for odd input: null and empty texts have zero features and get a
 score like any other; repeated rows are scored once each; a document with
-several labels counts as toxic if any says so; without labels of both classes
-every score is the share of toxic labels (0 without labels); further columns
-are ignored.
+several labels counts as toxic if any says so; without training rows of both
+classes every score is 1 if those there are toxic, else 0; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -172,16 +172,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
     known = known.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    if len(counts) < 2:
-        share = 1.0 if counts.get(1) else 0.0
-        out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(share).alias("score"))
-    else:
+    if len(counts) == 2:
         share = F.when(F.col("toxic") == 1, min(1.0, sample / counts[1])).otherwise(min(1.0, sample / counts[0]))
         picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
         picked = materialize(picked.withColumn("fold", F.crc32(F.col("doc_id").cast("string")) % 5), "toxic-sample")
         texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         # The sample is bounded by its parameter, so its ids may be broadcast.
-        terms = learn_terms(texts.join(F.broadcast(picked.where("fold < 4")), "doc_id").select("text", "toxic"))
+        texts = texts.join(F.broadcast(picked), "doc_id")
+        counts = {r["toxic"]: r["count"] for r in texts.where("fold < 4").groupBy("toxic").count().collect()}
+    if len(counts) < 2:
+        constant = F.lit(1.0 if counts.get(1) else 0.0)
+        out = docs.select(F.col(id_col).cast("long").alias("doc_id"), constant.alias("score"))
+    else:
+        terms = learn_terms(texts.where("fold < 4").select("text", "toxic"))
         table = materialize(features(docs, id_col, text_col, terms), "toxic-features")
         table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table).select("doc_id", "features")
         learn = materialize(table.join(F.broadcast(picked), "doc_id").orderBy("doc_id").coalesce(1), "toxic-train")  # bounded by sample
