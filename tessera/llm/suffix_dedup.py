@@ -220,9 +220,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     places = shared_anchors(base.select("same", "text"), depth, buckets).groupBy("same").agg(F.collect_list("place").alias("places"))
     places = materialize(places.join(firsts, "same").select(F.col("first").alias("p_id"), F.col("same").alias("p_same"), "places"), "suffix-places")
     wanted = base.join(places, (F.col("id") == F.col("p_id")) & (F.col("same") == F.col("p_same"))).select("id", "text", "places")
-    occurrences = materialize(snippets(wanted, depth).withColumn("windows", F.length("snippet") - depth + 1), "suffix-snippets")
-    distinct = occurrences.groupBy("anchor", "name", "snippet").agg(F.min("id").alias("least"))
-    spans = repeated_spans(occurrences, window_owners(distinct, depth, buckets), depth)
+    # Neighbouring snippets overlap, which zstd takes out.
+    occurrences = materialize(snippets(wanted, depth).withColumn("windows", F.length("snippet") - depth + 1), "suffix-snippets", "zstd")
+    distinct = materialize(occurrences.groupBy("anchor", "name").agg(F.min("id").alias("least"), F.first("snippet").alias("snippet")), "suffix-distinct", "zstd")
+    owners = materialize(window_owners(distinct, depth, buckets), "suffix-owners")
+    spans = repeated_spans(occurrences, owners, depth)
     spans = materialize(spans.select(F.col("id").alias("s_id"), "spans"), "suffix-spans")
 
     # Only documents that lose part of their bytes need their text once more.
