@@ -119,3 +119,42 @@ def ranking_moves(spark, sf_dir):
     both = top(F.col("n_chars"), "a").join(top(F.length("text") - F.col("doc_id"), "b"), "doc_id", "full")
     kind = F.when(F.col("a").isNull(), "enters").when(F.col("b").isNull(), "leaves").otherwise("moves")
     return both.select("doc_id", kind.alias("kind"), F.abs(F.coalesce("a", F.lit(21)) - F.coalesce("b", F.lit(21))).alias("distance"))
+
+
+@register("error_budget", "SELECT day, n, errors, round_even(errors / n / 0.2, 4) AS burn FROM (SELECT ts::DATE::VARCHAR AS day, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1) WHERE n >= 20")
+def error_budget(spark, sf_dir):
+    """How fast each day's failures use up a budget of a fifth, once there are twenty samples."""
+    days = _events(spark, sf_dir).groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("event_type") == "error", 1)).alias("errors"))
+    return days.where("n >= 20").select("day", "n", "errors", F.bround(F.col("errors") / F.col("n") / 0.2, 4).alias("burn"))
+
+
+@register("missed_beats", "SELECT user_id, (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(ts))) // 43200000000 AS missed FROM events GROUP BY user_id HAVING (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(ts))) // 43200000000 >= 3")
+def missed_beats(spark, sf_dir):
+    """Users silent for three half days or more before a point in time."""
+    silent = F.unix_micros(F.lit("2024-01-31").cast("timestamp")) - F.unix_micros(F.max(F.col("ts").cast("timestamp")))
+    last = _events(spark, sf_dir).groupBy("user_id").agg(F.floor(silent / 43200000000).alias("missed"))
+    return last.where("missed >= 3")
+
+
+@register("train_test_split", "SELECT CASE WHEN ts < TIMESTAMP '2024-01-22' THEN 'train' ELSE 'test' END AS side, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+def train_test_split(spark, sf_dir):
+    """Events by a day: what comes before it, and what does not."""
+    side = F.when(F.col("ts") < F.lit("2024-01-22").cast("timestamp_ntz"), "train").otherwise("test")
+    return _events(spark, sf_dir).groupBy(side.alias("side")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
+
+
+@register("corpus_drift", "SELECT round_even(abs(b - a) / a, 4) AS length_drift, abs(b - a) / a > 0.2 AS breach FROM (SELECT avg(n_chars) FILTER (doc_id % 2 = 0) AS a, avg(n_chars) FILTER (doc_id % 2 = 1) AS b FROM documents)")
+def corpus_drift(spark, sf_dir):
+    """The mean length of one half of the corpus against the other's, and whether it breaks a tolerance of a fifth."""
+    half = lambda k: F.avg(F.when(F.col("doc_id") % 2 == k, F.col("n_chars")))
+    means = spark.read.parquet(f"{sf_dir}/documents.parquet").agg(half(0).alias("a"), half(1).alias("b"))
+    drift = F.abs(F.col("b") - F.col("a")) / F.col("a")
+    return means.select(F.bround(drift, 4).alias("length_drift"), (drift > 0.2).alias("breach"))
+
+
+@register("funnel", "SELECT count(*) FILTER (v) AS viewed, count(*) FILTER (v AND c) AS clicked, count(*) FILTER (v AND c AND p) AS bought FROM (SELECT user_id, ts::DATE AS day, bool_or(event_type = 'view') AS v, bool_or(event_type = 'click') AS c, bool_or(event_type = 'purchase') AS p FROM events GROUP BY ALL)")
+def funnel(spark, sf_dir):
+    """User days that saw, clicked and bought."""
+    did = lambda kind: F.bool_or(F.col("event_type") == kind)
+    days = _events(spark, sf_dir).groupBy("user_id", F.to_date("ts").alias("day")).agg(did("view").alias("v"), did("click").alias("c"), did("purchase").alias("p"))
+    return days.agg(F.count_if("v").alias("viewed"), F.count_if(F.col("v") & F.col("c")).alias("clicked"), F.count_if(F.col("v") & F.col("c") & F.col("p")).alias("bought"))
