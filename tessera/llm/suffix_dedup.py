@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tessera.llm.bwt import least_by_prefix
 from tessera.llm.common import materialize
 
-GRAM = 16
+GRAM = 24  # long enough that texts seldom share one by chance
 CHUNK = 1 << 19  # bytes of a text whose anchors are looked for at a time
 PLACE_BITS = 20
 LAST = (1 << 63) - 1  # stands for a null id
@@ -53,8 +53,9 @@ def anchors(text: bytes, depth: int) -> tuple[np.ndarray, np.ndarray]:
             break
         one = np.ndarray((n,), "<u8", part, 0, (1,))
         two = np.ndarray((n,), "<u8", part, 8, (1,))
+        three = np.ndarray((n,), "<u8", part, 16, (1,))
         with np.errstate(over="ignore"):
-            mixed = (one * np.uint64(0x9E3779B97F4A7C15)) ^ ((two * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(7))
+            mixed = (one * np.uint64(0x9E3779B97F4A7C15)) ^ ((two * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(7)) ^ (three * np.uint64(0x165667B19E3779F9))
             mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         # Places in the low bits: of equal hashes the leftmost is least.
         mark = ((mixed >> np.uint64(PLACE_BITS)) << np.uint64(PLACE_BITS)) | np.arange(n, dtype=np.uint64)
@@ -175,26 +176,11 @@ def window_owners(distinct: DataFrame, depth: int, buckets: int) -> DataFrame:
 def repeated_spans(occurrences: DataFrame, owners: DataFrame, depth: int) -> DataFrame:
     """(id, spans): for each id the merged spans of bytes [start, stop) to remove, flat in one array."""
     met = occurrences.select("id", "start", "name", "windows").join(owners, "name")
-
-    def covered(batches):
-        for batch in batches:
-            ids, begins, ends = [], [], []
-            for i, start, windows, own in zip(*(batch.column(c).to_pylist() for c in ("id", "start", "windows", "owners"))):
-                if len(own) == 1:
-                    if own[0] < i and windows > 0:
-                        ids.append(i)
-                        begins.append(start)
-                        ends.append(start + windows - 1 + depth)
-                    continue
-                hit = np.array(own) < i
-                edge = np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))
-                for a, b in zip(np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]):
-                    ids.append(i)
-                    begins.append(start + int(a))
-                    ends.append(start + int(b) - 1 + depth)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(begins, pa.int64()), pa.array(ends, pa.int64())], names=["id", "a", "b"])
-
-    spans = met.select("id", "start", "windows", "owners").mapInArrow(covered, "id long, a long, b long")
+    span = lambda first, last: F.struct((F.col("start") + first).alias("a"), (F.col("start") + last + depth).alias("b"))
+    whole = F.filter(F.array(span(F.lit(0), F.col("windows") - 1)), lambda x: (F.col("owners")[0] < F.col("id")) & (F.col("windows") > 0))
+    places = F.filter(F.sequence(F.lit(0), F.size("owners") - 1), lambda k: F.get("owners", k) < F.col("id"))
+    found = F.when(F.size("owners") == 1, whole).otherwise(F.transform(places, lambda k: span(k, k)))
+    spans = met.select("id", F.explode(found).alias("s")).select("id", F.col("s.a").cast("long").alias("a"), F.col("s.b").cast("long").alias("b"))
     return spans.groupBy("id").agg(F.flatten(F.sort_array(F.collect_list(F.array("a", "b")))).alias("spans"))
 
 
