@@ -128,12 +128,12 @@ def error_budget(spark, sf_dir):
     return days.where("n >= 20").select("day", "n", "errors", F.bround(F.col("errors") / F.col("n") / 0.2, 4).alias("burn"))
 
 
-@register("missed_beats", "SELECT user_id, (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(ts))) // 43200000000 AS missed FROM events GROUP BY user_id HAVING (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(ts))) // 43200000000 >= 3")
+@register("missed_beats", "SELECT user_id, (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(ts))) // 43200000000 AS missed FROM events GROUP BY user_id HAVING (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(ts))) // 43200000000 >= 1")
 def missed_beats(spark, sf_dir):
-    """Users silent for three half days or more before a point in time."""
+    """Users silent for half a day or more before a point in time."""
     silent = F.unix_micros(F.lit("2024-01-31").cast("timestamp")) - F.unix_micros(F.max(F.col("ts").cast("timestamp")))
     last = _events(spark, sf_dir).groupBy("user_id").agg(F.floor(silent / 43200000000).alias("missed"))
-    return last.where("missed >= 3")
+    return last.where("missed >= 1")
 
 
 @register("train_test_split", "SELECT CASE WHEN ts < TIMESTAMP '2024-01-22' THEN 'train' ELSE 'test' END AS side, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
