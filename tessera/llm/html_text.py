@@ -76,6 +76,11 @@ def _class_words(attributes: str) -> tuple[str, ...]:
     return tuple(sorted(out))
 
 
+def _held(stack: list) -> tuple:
+    """The ancestors; of more than 64, those alike past the third count once, at their innermost place, so unclosed pages stay small."""
+    return tuple(stack) if len(stack) <= 64 else (*stack[:3], *reversed(dict.fromkeys(reversed(stack[3:]))))
+
+
 def leaf_blocks(page: str) -> list[tuple[str, float, tuple[tuple[str, tuple[str, ...]], ...]]]:
     """(text, share of its letters in links, ancestors from outside in) of each block that has text."""
     out, stack, runs, linked, in_link = [], [], [], 0, False
@@ -85,7 +90,7 @@ def leaf_blocks(page: str) -> list[tuple[str, float, tuple[tuple[str, tuple[str,
         if runs:
             text = " ".join(entities.unescape("".join(runs)).split())
             if text:
-                out.append((text, min(1.0, linked / max(1, sum(map(len, runs)))), tuple(stack[:64])))
+                out.append((text, min(1.0, linked / max(1, sum(map(len, runs)))), _held(stack)))
             runs.clear()
         linked, in_link = 0, False
 
