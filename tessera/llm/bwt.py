@@ -1,86 +1,75 @@
-"""Burrows-Wheeler transforms of string collections, and their merging by interleave refinement."""
+"""Positional Burrows-Wheeler transforms of shards of aligned strings, and their merging by interleave refinement.
+
+The strings are rows of one width, END where a row has no byte of its own. Rows
+are aligned, so suffixes are compared at equal columns. A shard's transform holds,
+for each column, the bytes there in the order of the suffixes behind that column.
+Merging refines an interleaving column by column: it says of each suffix which
+shard it is from; read through it, the shards' transforms give the bytes before
+all suffixes in order; dealt out by those bytes, the interleaving is that of the
+column before. No suffix is compared or sorted again.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
-END = 0xFF  # ends a string; no UTF-8 text has this byte, and it sorts last
-
+END = 0xFF  # no UTF-8 text has this byte
 
-class ShardTransform:
-    """The transform of one shard: for its suffixes in sorted order the byte before each, and where each starts.
-
-    Suffixes are sorted by ``depth`` bytes; merging asks for no more.
-    """
 
-    def __init__(self, strings: list[bytes], depth: int):
-        lengths = np.array([len(s) + 1 for s in strings], np.int64)
-        text = np.frombuffer(b"".join(s + b"\xff" for s in strings) + b"\xff" * (depth + 8), np.uint8)
-        n = int(lengths.sum())
-        ends = np.cumsum(lengths)
-        owner = np.repeat(np.arange(len(strings)), lengths)
-        offset = np.arange(n) - np.repeat(ends - lengths, lengths)
-        left = np.repeat(ends, lengths) - np.arange(n)  # bytes to the string's end, END included
-        keys = []
-        for at in range(0, depth, 8):
-            word = np.ndarray((n,), ">u8", text.tobytes(), at, (1,)).astype(np.uint64)
-            # What lies past the END counts as END: equal rests of strings are equal.
-            over = np.clip(at + 8 - left, 0, 8).astype(np.uint64)
-            fill = np.where(over >= 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (np.minimum(over, np.uint64(7)) * np.uint64(8))) - np.uint64(1))
-            keys.append(word | fill)
-        order = np.lexsort(keys[::-1])
-        before = np.where(offset == 0, END, np.concatenate([[END], text[: n - 1]])).astype(np.uint8)
-        self.bytes_before, self.owner, self.offset, self.left = before[order], owner[order], offset[order], left[order] - 1
+def transform(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """(width, rows): the transforms of all groups of rows side by side; ``group`` ascends."""
+    columns = np.ascontiguousarray(rows.T)
+    out = np.empty_like(columns)
+    order = np.arange(len(rows))
+    group = group.astype(np.uint16) if len(group) and group[-1] < 1 << 16 else group
+    for c in range(len(columns) - 1, -1, -1):
+        read = columns[c][order]
+        out[c] = read[np.argsort(group[order], kind="stable")]
+        order = order[np.argsort(read, kind="stable")]
+    return out
 
 
-def merge(shards: list[ShardTransform], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The interleaving of the shards' suffixes sorted by ``depth`` bytes, and common prefix lengths.
+def merged_repeats(shards: list[np.ndarray], least: np.ndarray, depth: int) -> np.ndarray:
+    """For each string, shard after shard, a number whose bit c is set if its ``depth`` bytes from column c stand in a string of lesser value as well.
 
-    The interleaving starts as shard after shard. Each round reads the
-    transforms through it, which gives the byte before each suffix, and deals the
-    shard numbers out by that byte, in order: what was sorted by h bytes is then
-    sorted by h + 1. Where neighbours part first in round h, they have h - 1
-    bytes in common. No suffix is compared or sorted again.
+    Two neighbours' suffixes part at a column that is kept as the merging goes;
+    neighbours that part ``depth`` columns on or later have a common prefix of
+    that length, and such runs are the repeated intervals.
     """
-    sizes = np.array([len(s.bytes_before) for s in shards])
-    n = int(sizes.sum())
-    source = np.repeat(np.arange(len(shards), dtype=np.uint16), sizes)
-    every = np.concatenate([s.bytes_before for s in shards])
-    block = np.zeros(n, np.int64)
-    common = np.full(n, depth, np.int64)
-    parted = np.zeros(n, bool)
-    if n:
-        parted[0], common[0] = True, 0
-    for h in range(1, depth + 1):
-        by_shard = np.argsort(source, kind="stable")
-        read = np.empty(n, np.uint8)
-        read[by_shard] = every
+    transforms = np.concatenate(shards, axis=1)
+    width, n = transforms.shape
+    out = np.zeros(n, np.uint64)
+    if not n:
+        return out
+    kind = np.uint16 if len(shards) < 1 << 16 else np.uint32
+    source = np.repeat(np.arange(len(shards), dtype=kind), [s.shape[1] for s in shards])
+    string, by_shard = np.arange(n), np.arange(n)
+    parts = np.full(n + 1, width, np.int16)  # the column where a suffix parts from the one before it
+    parts[0] = parts[n] = -1
+    whole = {}  # column to whether each string has a byte of its own there
+    read = np.empty(n, np.uint8)
+    for c in range(width - 1, -1, -1):
+        read[by_shard] = transforms[c]
         dealt = np.argsort(read, kind="stable")
-        source = source[dealt]
-        first, behind = read[dealt], block[dealt]
-        starts = np.ones(n, bool)
-        starts[1:] = (first[1:] != first[:-1]) | (behind[1:] != behind[:-1])
-        common[starts & ~parted] = h - 1
-        parted |= starts
-        block = np.cumsum(starts)
-    return source, common
-
-
-def least_by_prefix(strings: list[bytes], values: np.ndarray, depth: int, shard_strings: int = 1024) -> list[np.ndarray]:
-    """For each string, for each of its places with ``depth`` bytes, the least value of all strings that hold those bytes."""
-    shards = [ShardTransform(strings[at : at + shard_strings], depth) for at in range(0, len(strings), shard_strings)]
-    source, common = merge(shards, depth)
-    by_shard = np.argsort(source, kind="stable")
-    owner, offset, left = (np.empty(len(source), np.int64) for _ in range(3))
-    owner[by_shard] = np.concatenate([s.owner + k * shard_strings for k, s in enumerate(shards)])
-    offset[by_shard] = np.concatenate([s.offset for s in shards])
-    left[by_shard] = np.concatenate([s.left for s in shards])
-    whole = left >= depth
-    run = np.cumsum(common < depth)
-    mine = np.full(int(run[-1]) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(mine, run[whole], values[owner[whole]])
-    out = [np.full(max(0, len(s) - depth + 1), np.iinfo(np.int64).max) for s in strings]
-    starts = np.concatenate([[0], np.cumsum([len(o) for o in out])])
-    flat = np.empty(starts[-1], np.int64)
-    flat[starts[owner[whole]] + offset[whole]] = mine[run[whole]]
-    return [flat[starts[k] : starts[k + 1]] for k in range(len(out))]
+        first, before = read[dealt], dealt[:-1]
+        same = first[1:] == first[:-1]
+        new = np.full(n + 1, -1, np.int16)
+        new[1:n] = np.where(same, parts[dealt[1:]], c)
+        far = np.nonzero(same & (dealt[1:] != before + 1))[0]
+        if len(far):
+            ranges = np.empty(2 * len(far), np.int64)
+            ranges[::2], ranges[1::2] = before[far] + 1, dealt[far + 1] + 1
+            new[far + 1] = np.minimum.reduceat(parts, ranges)[::2]
+        parts, source, string = new, source[dealt], string[dealt]
+        by_shard = np.argsort(source, kind="stable")
+        if c >= depth - 1:
+            held = np.empty(n, bool)
+            held[string] = first != END
+            whole[c] = held
+        if c + depth <= width:
+            starts = np.nonzero(parts[:n] < c + depth)[0]
+            value = least[string]
+            run = np.repeat(np.minimum.reduceat(value, starts), np.diff(np.append(starts, n)))
+            repeated = string[(run < value) & (first != END) & whole[c + depth - 1][string]]
+            out[repeated] |= np.uint64(1) << np.uint64(c)
+    return out

@@ -44,16 +44,17 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
         df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once per row."""
-    return F.transform(F.array(value), body)[0]
+def discard(*frames: DataFrame) -> None:
+    """Deletes tables that ``materialize`` returned and that nothing reads again."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def words_of(text: Column) -> Column:

@@ -1,26 +1,31 @@
 """Removal of repeated substrings by merged Burrows-Wheeler transforms.
 
 A byte goes if a string of ``depth`` bytes over it also starts in a document of
-a smaller id. To compare only what can be equal:
+a smaller id. The documents are cut into data shards of bounded bytes, and each
+goes through these steps:
 
 1. Every window of ``depth`` bytes has an anchor: the leftmost of its ``GRAM``-byte
-   grams of least hash. Equal windows have equal anchors at equal places. Anchor
-   hashes are dealt out by hash; those that different texts share stay.
-2. Around each shared anchor a snippet holds all windows that could have it.
-   Equal snippets collapse to one with the least id (summed before the shuffle,
-   so a passage in a third of all documents is one row a task).
-3. Distinct snippets go to tasks by anchor. An anchor with one snippet needs no
-   more. The others' snippets are cut into shards, each shard's transform is
-   built, and the transforms are merged by interleave refinement (``bwt``), whose
-   common prefixes give the repeated intervals and so each window's least id.
-4. Each occurrence compares the least ids of its windows with its own id.
-
-Equal whole texts are told by hash first: all but the least id's are removed
-whole, and only one takes part in the steps above.
+   grams of least hash. Equal windows have equal anchors at equal places. Each
+   shard tells its distinct anchor hashes, once each, and learns which of them a
+   different text has as well. Hashes only leave out what can't repeat.
+2. A shard writes its windows over shared anchors as strings aligned at the
+   anchor, equal ones once with the least id, and builds the Burrows-Wheeler
+   transform of the strings of each bucket of anchors.
+3. In each bucket the shards' transforms are merged by interleave refinement
+   (``bwt``). The common prefixes give the repeated intervals, and so for each
+   string the windows that some lesser id holds as well.
+4. Each shard turns these into spans of its texts.
+
+Copies of a whole text (equal SHA-256) are removed whole; their first document
+alone takes part in the steps above. An anchor that ``hot`` shards hold goes to
+the buckets window by window, so no bucket gets more of it than a string a
+shard and window.
 
 Defined results for odd input: a null text is empty; texts shorter than
 ``depth`` bytes lose nothing; rows that share an id don't remove each other's
-bytes; a null id counts as greater than all others; further columns are ignored.
+bytes; a null id counts as greater than all others; repeated rows give their
+rows; a very long text is a shard's by itself and is read whole; an empty table
+gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,225 +37,358 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bwt import least_by_prefix
-from tessera.llm.common import materialize
+from tessera.llm.bwt import END, merged_repeats, transform
+from tessera.llm.common import discard, materialize
 
 GRAM = 24  # long enough that texts seldom share one by chance
-CHUNK = 1 << 19  # bytes of a text whose anchors are looked for at a time
+CHUNK = 1 << 15  # windows whose anchors are looked for at a time
 PLACE_BITS = 20
+FLUSH = 1 << 22  # anchors that a task holds before it tells them
+SEVERAL = 0xFFFF  # more than one text of the shard
 LAST = (1 << 63) - 1  # stands for a null id
-MERGED = 1 << 12  # snippets merged at a time, unless one anchor has more
-
-
-def anchors(text: bytes, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the anchors of all windows of ``depth`` bytes."""
+SALTS = 16
+
+
+def flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of strings without nulls, and where each starts and the last ends."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    _, ends, data = column.buffers()
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    ends = np.frombuffer(ends, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    held = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return held[ends[0] : ends[-1]], ends - ends[0]
+
+
+def anchored_runs(held: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and place of each anchor, and the first and last start of its windows; windows don't cross texts."""
+    hashes, places, firsts, lasts = [], [], [], []
+    ramp = np.arange(CHUNK + depth, dtype=np.uint64)
+    low = np.uint64((1 << PLACE_BITS) - 1)
     span = depth - GRAM + 1  # grams in a window
-    hashes, places = [], []
-    for at in range(0, max(1, len(text) - depth + 1), CHUNK):
-        part = text[at : at + CHUNK + depth - 1]
-        n = len(part) - GRAM + 1
-        if len(part) < depth:
-            break
-        one = np.ndarray((n,), "<u8", part, 0, (1,))
-        two = np.ndarray((n,), "<u8", part, 8, (1,))
-        three = np.ndarray((n,), "<u8", part, 16, (1,))
-        with np.errstate(over="ignore"):
-            mixed = (one * np.uint64(0x9E3779B97F4A7C15)) ^ ((two * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(7)) ^ (three * np.uint64(0x165667B19E3779F9))
-            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    for at in range(0, len(held) - depth + 1, CHUNK):
+        windows = min(CHUNK, len(held) - depth + 1 - at)
+        grams = windows + span - 1
+        word = np.ndarray((grams + 16,), "<u8", held, at, (1,)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = word[8 : grams + 8] >> np.uint64(7)
+        mixed ^= word[:grams]
+        mixed += word[16:] << np.uint64(13)
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
         # Places in the low bits: of equal hashes the leftmost is least.
-        mark = ((mixed >> np.uint64(PLACE_BITS)) << np.uint64(PLACE_BITS)) | np.arange(n, dtype=np.uint64)
-        least, width = mark, 1
+        least, width = (mixed & ~low) | ramp[:grams], 1
         while width * 2 <= span:
             least = np.minimum(least[:-width], least[width:])
             width *= 2
         if width < span:
             least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
-        kept = least[np.concatenate([[True], least[1:] != least[:-1]])]
-        hashes.append(kept >> np.uint64(PLACE_BITS))
-        places.append((kept & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64) + at)
+        new = np.empty(windows, bool)
+        new[0] = True
+        np.not_equal(least[1:], least[:-1], out=new[1:])
+        # Texts begin new runs, and so do the windows that would cross a text's end.
+        inner = ends[np.searchsorted(ends, at) : np.searchsorted(ends, at + windows + depth)] - at
+        for cut in (inner, inner - depth + 1):
+            new[cut[(cut >= 0) & (cut < windows)]] = True
+        first = np.nonzero(new)[0]
+        last = np.append(first[1:], windows) - 1
+        kept = first + at + depth <= ends[np.searchsorted(ends, first + at, side="right")]
+        first, last = first[kept], last[kept]
+        place = (least[first] & low).astype(np.int64)
+        hashes.append(mixed[place])
+        places.append(place + at)
+        firsts.append(first + at)
+        lasts.append(last + at)
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    hashes, places = np.concatenate(hashes), np.concatenate(places)
-    places, first = np.unique(places, return_index=True)
-    return hashes[first], places
-
-
-def shared_anchors(texts: DataFrame, depth: int, buckets: int) -> DataFrame:
-    """(same, place): anchors of texts (same, text) whose hash a different text has as well. ``same`` is a hash of the whole text."""
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
+    return np.concatenate(hashes), np.concatenate(places), np.concatenate(firsts), np.concatenate(lasts)
+
+
+def _runs_of(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal sorted keys start."""
+    return np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0] if len(keys) else np.zeros(0, np.int64)
+
+
+def _bucketed(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and remaining 32 bits of each hash."""
+    return (hashes % np.uint64(buckets)).astype(np.int64), ((hashes // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def shared_anchors(texts: DataFrame, depth: int, buckets: int, hot: int) -> DataFrame:
+    """(shard, bucket, lows, hots): for each shard the anchors that different texts have; texts (shard, sha, text)."""
+
+    def told(keys, docs, shards, names):
+        numbers: dict[bytes, int] = {}
+        which = np.array([numbers.setdefault(n, len(numbers)) for n in names], np.int64)  # equal texts are one
+        tags = np.frombuffer(b"".join(numbers), "V16")
+        keys, docs, shards = np.concatenate(keys), np.concatenate(docs), np.array(shards, np.int64)
+        for shard in np.unique(shards):
+            mine = shards[docs] == shard
+            key, text = keys[mine], which[docs[mine]]
+            order = np.argsort(key)
+            key, text = key[order], text[order]
+            starts = _runs_of(key)
+            if not len(starts):
+                continue
+            one = np.minimum.reduceat(text, starts)
+            text = np.where(one == np.maximum.reduceat(text, starts), one, SEVERAL)
+            bucket, rest = _bucketed(key[starts], buckets)
+            order = np.argsort(bucket, kind="stable")
+            bucket, rest, text = bucket[order], rest[order], text[order]
+            starts = _runs_of(bucket)
+            rows = []
+            for a, b in zip(starts, np.append(starts[1:], len(bucket))):
+                used, local = np.unique(text[a:b], return_inverse=True)
+                several = used[-1] == SEVERAL
+                if several:
+                    local[local == len(used) - 1] = SEVERAL
+                rows.append((int(bucket[a]), int(shard), rest[a:b].tobytes(), local.astype("<u2").tobytes(), tags[used[: len(used) - several]].tobytes()))
+            for at in range(0, len(rows), 4096):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 4096]), kinds)], names=["bucket", "shard", "lows", "texts", "names"])
 
     def emit(batches):
+        keys, docs, shards, names, count = [], [], [], [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                names = batch.column(0).slice(at, 512).to_numpy(zero_copy_only=False)
-                found = [anchors((x.as_py() or "").encode(), depth) for x in batch.column(1).slice(at, 512)]
-                hashes = np.concatenate([f[0] for f in found])
-                places = np.concatenate([f[1] for f in found])
-                rows = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-                bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                out = []
-                for b in range(buckets):
-                    part = order[cuts[b] : cuts[b + 1]]
-                    if len(part):
-                        used, local = np.unique(rows[part], return_inverse=True)
-                        out.append((b, (hashes[part] // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), local.astype("<u2").tobytes(), places[part].astype("<u4").tobytes(), names[used].astype("<i8").tobytes()))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32(), *[pa.binary()] * 4])], names=["bucket", "hashes", "rows", "places", "names"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                held, ends = flat(part.column(2))
+                found, places, _, _ = anchored_runs(held, ends, depth)
+                keys.append(found)
+                docs.append(np.searchsorted(ends, places, side="right") - 1 + len(names))
+                shards.extend(part.column(0).to_pylist())
+                names.extend(x[:16] for x in part.column(1).to_pylist())
+                count += len(found)
+                if count >= FLUSH or len(names) > 60_000:
+                    yield from told(keys, docs, shards, names)
+                    keys, docs, shards, names, count = [], [], [], [], 0
+        if names:
+            yield from told(keys, docs, shards, names)
 
     def pick(key, table):
-        hashes, names, places = [], [], []
-        for h, r, p, n in zip(*(table.column(c) for c in ("hashes", "rows", "places", "names"))):
-            five = np.frombuffer(h.as_py(), np.uint8).reshape(-1, 5)
-            whole = np.zeros((len(five), 8), np.uint8)
-            whole[:, :5] = five
-            hashes.append(whole.view("<u8")[:, 0])
-            names.append(np.frombuffer(n.as_py(), "<i8")[np.frombuffer(r.as_py(), "<u2")])
-            places.append(np.frombuffer(p.as_py(), "<u4").astype(np.int64))
-        hashes, names, places = np.concatenate(hashes), np.concatenate(names), np.concatenate(places)
-        order = np.lexsort((places, names, hashes))
-        hashes, names, places = hashes[order], names[order], places[order]
-        new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
-        run = np.cumsum(new) - 1
-        other = np.concatenate([[False], (names[1:] != names[:-1]) & ~new[1:]])
-        wanted = np.bincount(run, weights=other)[run] > 0
-        once = np.concatenate([[True], (names[1:] != names[:-1]) | (places[1:] != places[:-1]) | new[1:]])  # equal texts say the same
-        keep = wanted & once
-        return pa.table({"same": names[keep], "place": places[keep]})
-
-    blobs = texts.mapInArrow(emit, "bucket int, hashes binary, rows binary, places binary, names binary")
-    return blobs.groupBy("bucket").applyInArrow(pick, "same long, place long")
-
-
-def snippets(texts: DataFrame, depth: int) -> DataFrame:
-    """(anchor, id, start, name, snippet) around each of the places in texts (id, text, places); name is a hash of the snippet."""
-
-    def run(batches):
-        from xxhash import xxh3_128_digest
-
-        for batch in batches:
-            for r in range(batch.num_rows):
-                text = batch.column(1)[r].as_py().encode()
-                places = np.unique(batch.column(2)[r].values.to_numpy(zero_copy_only=False))
-                starts = np.maximum(0, places - (depth - GRAM))
-                cut = [text[a : p + depth] for a, p in zip(starts.tolist(), places.tolist())]
-                keys = [int.from_bytes(xxh3_128_digest(text[p : p + GRAM])[:8], "little", signed=True) for p in places.tolist()]
-                for at in range(0, len(cut), 1 << 14):
-                    part = slice(at, at + (1 << 14))
-                    columns = [pa.array(keys[part], pa.int64()), pa.array(np.full(len(cut[part]), batch.column(0)[r].as_py())), pa.array(starts[part]), pa.array([xxh3_128_digest(c) for c in cut[part]], pa.binary()), pa.array(cut[part], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["anchor", "id", "start", "name", "snippet"])
-
-    return texts.mapInArrow(run, "anchor long, id long, start long, name binary, snippet binary")
-
+        lows, one, two, several, sizes = [], [], [], [], []
+        for low, text, name in zip(*(table.column(c) for c in ("lows", "texts", "names"))):
+            text = np.frombuffer(text.as_py(), "<u2").astype(np.int64)
+            tags = np.append(np.frombuffer(name.as_py(), "<u8"), [0, 0]).reshape(-1, 2)
+            many = text == SEVERAL
+            text[many] = len(tags) - 1
+            lows.append(np.frombuffer(low.as_py(), "<u4"))
+            one.append(tags[text, 0])
+            two.append(tags[text, 1])
+            several.append(many)
+            sizes.append(len(text))
+        low, several = np.concatenate(lows), np.concatenate(several)
+        order = np.argsort(low, kind="stable")
+        starts = _runs_of(low[order])
+        differ = np.maximum.reduceat(several[order], starts)
+        for tag in (np.concatenate(one)[order], np.concatenate(two)[order]):
+            differ |= np.minimum.reduceat(tag, starts) != np.maximum.reduceat(tag, starts)
+        counts = np.diff(np.append(starts, len(low)))
+        shared, heat = np.empty(len(low), bool), np.empty(len(low), bool)
+        shared[order], heat[order] = np.repeat(differ, counts), np.repeat(counts >= hot, counts)
+        out = []
+        for k, (a, b) in enumerate(zip(np.cumsum(sizes) - sizes, np.cumsum(sizes))):
+            if shared[a:b].any():
+                out.append((table.column("shard")[k].as_py(), int(key[0].as_py()), low[a:b][shared[a:b]].tobytes(), heat[a:b][shared[a:b]].tobytes()))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, [pa.int64(), pa.int64(), pa.binary(), pa.binary()])], names=["shard", "bucket", "lows", "hots"])
+
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 3]
+    rows = texts.select("shard", "sha", "text").mapInArrow(emit, "bucket long, shard long, lows binary, texts binary, names binary")
+    return rows.groupBy("bucket").applyInArrow(pick, "shard long, bucket long, lows binary, hots binary")
+
+
+def _row_hash(rows: np.ndarray) -> np.ndarray:
+    padded = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    padded[:, : rows.shape[1]] = rows
+    out = np.zeros(len(rows), np.uint64)
+    for word in padded.view("<u8").T:
+        out = (out ^ word) * np.uint64(0xFF51AFD7ED558CCD)
+        out ^= out >> np.uint64(32)
+    return out
+
+
+#: An occurrence of a string in a shard: the text's number, the anchor's place in it, the columns of the first and last window, and the string's number.
+OCCURRENCE = np.dtype([("text", "<u4"), ("place", "<u4"), ("first", "u1"), ("last", "u1"), ("string", "<u4"), ("later", "?")])
+
+
+def shard_strings(held, ends, ids, shared, heat, depth: int, buckets: int):
+    """The distinct strings of a shard by bucket (rows, bucket, least id), and their occurrences.
+
+    ``shared`` are the shared anchors, ascending, as bucket << 32 | rest, and ``heat`` whether each is hot.
+    """
+    lead, width = depth - GRAM, 2 * depth - GRAM
+    hashes, places, firsts, lasts = anchored_runs(held, ends, depth)
+    bucket, rest = _bucketed(hashes, buckets)
+    key = bucket.astype(np.uint64) << np.uint64(32) | rest
+    at = np.minimum(np.searchsorted(shared, key), max(0, len(shared) - 1))
+    hit = shared[at] == key if len(shared) else np.zeros(len(key), bool)
+    places, firsts, lasts, bucket, hot = places[hit], firsts[hit], lasts[hit], bucket[hit], heat[at[hit]]
+    if hot.any():  # window by window
+        counts = np.where(hot, lasts - firsts + 1, 1)
+        step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        places, hot, bucket, last = (np.repeat(x, counts) for x in (places, hot, bucket, lasts))
+        firsts = np.repeat(firsts, counts) + step
+        lasts = np.where(hot, firsts, last)
+    padded = np.concatenate([np.full(lead, END, np.uint8), held, np.full(depth, END, np.uint8)])
+    rows = np.lib.stride_tricks.sliding_window_view(padded, width)[places] if len(places) else np.zeros((0, width), np.uint8)
+    column = np.arange(width)
+    begin, stop = firsts - places + lead, lasts - places + lead + depth
+    for a in range(0, len(rows), 1 << 16):
+        part = slice(a, a + (1 << 16))
+        rows[part][(column < begin[part, None]) | (column >= stop[part, None])] = END
+    hashed = _row_hash(rows)
+    bucket = np.where(hot, (hashed % np.uint64(buckets)).astype(np.int64), bucket)
+    order = np.lexsort((hashed, bucket))
+    new = np.ones(len(order), bool)
+    near = order[1:], order[:-1]
+    # Equal hashes are looked at byte by byte; equal strings that stay apart do no harm.
+    alike = np.nonzero((hashed[near[0]] == hashed[near[1]]) & (bucket[near[0]] == bucket[near[1]]))[0]
+    for a in range(0, len(alike), 1 << 16):
+        part = alike[a : a + (1 << 16)]
+        new[part[(rows[near[0][part]] == rows[near[1][part]]).all(axis=1)] + 1] = False
+    starts = np.nonzero(new)[0]
+    text = np.searchsorted(ends, places, side="right") - 1
+    mine = ids[text]
+    least = np.minimum.reduceat(mine[order], starts) if len(starts) else np.zeros(0, np.int64)
+    string = np.empty(len(order), np.int64)
+    string[order] = np.cumsum(new) - 1
+    found = np.empty(len(places), OCCURRENCE)
+    found["text"], found["place"], found["string"] = text, places - ends[text], string
+    found["first"], found["last"] = begin, stop - depth
+    found["later"] = mine > least[string]
+    return rows[order[starts]], bucket[order[starts]], least, found
+
+
+def shard_transforms(rows: DataFrame, depth: int, buckets: int) -> DataFrame:
+    """(bucket, shard, strings, least, found): a row for each bucket of a shard's transforms, and one without a bucket for its occurrences."""
 
-def window_owners(distinct: DataFrame, depth: int, buckets: int) -> DataFrame:
-    """(name, owners): of each distinct snippet (anchor, name, snippet, least) the least id of each window; one id if all are alike."""
+    def run(key, table):
+        kind = table.column("kind").to_numpy()
+        told = table.filter(pa.array(kind == 1))
+        out = []
+        if told.num_rows:
+            texts = table.filter(pa.array(kind == 0))
+            copies = table.filter(pa.array(kind == 2)).column("row").to_numpy()
+            texts = texts.filter(pa.array(~np.isin(texts.column("row").to_numpy(), copies)))
+            shared = [np.frombuffer(a.as_py(), "<u4").astype(np.uint64) | np.uint64(b.as_py() << 32) for a, b in zip(told.column("a"), told.column("bucket"))]
+            heat = [np.frombuffer(b.as_py(), bool) for b in told.column("b")]
+            shared, heat = np.concatenate(shared), np.concatenate(heat)
+            shared, at = np.unique(shared, return_index=True)
+            held, ends = flat(texts.column("text"))
+            strings, bucket, least, found = shard_strings(held, ends, texts.column("id").to_numpy(), shared, heat[at], depth, buckets)
+            numbers = texts.column("row").to_numpy()
+            starts = _runs_of(bucket)
+            cuts = np.append(starts, len(bucket))
+            built = transform(strings, np.repeat(np.arange(len(starts)), np.diff(cuts)))
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                out.append((int(bucket[a]), key[0].as_py(), built[:, a:b].tobytes(), least[a:b].tobytes(), None))
+            if len(found):
+                used, local = np.unique(found["text"], return_inverse=True)
+                found["text"] = local
+                out.append((None, key[0].as_py(), numbers[used].tobytes(), None, found.tobytes()))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])], names=["bucket", "shard", "strings", "least", "found"])
+
+    return rows.groupBy("shard").applyInArrow(run, "bucket long, shard long, strings binary, least binary, found binary")
+
+
+def merged_buckets(transforms: DataFrame, depth: int) -> DataFrame:
+    """(shard, bucket, masks): for each string of a shard's bucket the windows that a lesser id holds as well."""
+    width = 2 * depth - GRAM
 
     def run(key, table):
-        order = np.argsort(table.column("anchor").to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
-        anchor, least = table.column("anchor").to_numpy(), table.column("least").to_numpy()
-        held = table.column("snippet").to_pylist()
-        cuts = np.concatenate([[0], np.nonzero(anchor[1:] != anchor[:-1])[0] + 1, [len(anchor)]])
-        owners = [[int(x)] for x in least]
-        batch: list[int] = []
-
-        def settle():
-            for k, found in zip(batch, least_by_prefix([held[k] for k in batch], least[batch], depth)):
-                owners[k] = found.tolist() if len(found) and (found != found[0]).any() else found[:1].tolist()
-            batch.clear()
-
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if b - a > 1:
-                batch.extend(range(a, b))
-                if len(batch) >= MERGED:
-                    settle()
-        if batch:
-            settle()
-        return pa.table({"name": table.column("name"), "owners": pa.array(owners, pa.list_(pa.int64()))})
-
-    dealt = distinct.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)).cast("int"))
-    return dealt.groupBy("bucket").applyInArrow(run, "name binary, owners array<bigint>")
-
-
-def repeated_spans(occurrences: DataFrame, owners: DataFrame, depth: int) -> DataFrame:
-    """(id, spans): for each id the merged spans of bytes [start, stop) to remove, flat in one array."""
-    met = occurrences.select("id", "start", "name", "windows").join(owners, "name")
-    span = lambda first, last: F.struct((F.col("start") + first).alias("a"), (F.col("start") + last + depth).alias("b"))
-    whole = F.filter(F.array(span(F.lit(0), F.col("windows") - 1)), lambda x: (F.col("owners")[0] < F.col("id")) & (F.col("windows") > 0))
-    places = F.filter(F.sequence(F.lit(0), F.size("owners") - 1), lambda k: F.get("owners", k) < F.col("id"))
-    found = F.when(F.size("owners") == 1, whole).otherwise(F.transform(places, lambda k: span(k, k)))
-    spans = met.select("id", F.explode(found).alias("s")).select("id", F.col("s.a").cast("long").alias("a"), F.col("s.b").cast("long").alias("b"))
-    return spans.groupBy("id").agg(F.flatten(F.sort_array(F.collect_list(F.array("a", "b")))).alias("spans"))
-
-
-def merged_spans(flat) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in zip(flat[::2], flat[1::2]):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 50, bucket_bytes: int = 16 << 20) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (bytes, flat starts and stops), one row per input row."""
+        shards = [np.frombuffer(x.as_py(), np.uint8).reshape(width, -1) for x in table.column("strings")]
+        least = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in table.column("least")])
+        masks = merged_repeats(shards, least, depth)
+        cuts = np.cumsum([s.shape[1] for s in shards])[:-1]
+        return pa.table({"shard": table.column("shard"), "bucket": table.column("bucket"), "masks": pa.array([m.tobytes() for m in np.split(masks, cuts)], pa.binary())})
+
+    return transforms.groupBy("bucket").applyInArrow(run, "shard long, bucket long, masks binary")
+
+
+def removed_spans(found: np.ndarray, masks: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, start and stop of each maximal removed run."""
+    columns = np.arange(depth - GRAM + 1)
+    texts, starts = [], []
+    for at in range(0, len(found), 1 << 17):
+        part = found[at : at + (1 << 17)]
+        gone = part["later"][:, None] | ((masks[part["string"]][:, None] >> columns.astype(np.uint64)) & np.uint64(1)).astype(bool)
+        gone &= (columns >= part["first"][:, None]) & (columns <= part["last"][:, None])
+        row, column = np.nonzero(gone)
+        texts.append(part["text"][row].astype(np.int64))
+        starts.append(part["place"][row].astype(np.int64) - (depth - GRAM) + column)
+    text, start = np.concatenate(texts), np.concatenate(starts)  # ascending: runs of windows follow one another in a text
+    new = np.nonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (start[1:] > start[:-1] + depth)]))[0] if len(text) else np.zeros(0, np.int64)
+    return text[new], start[new], start[np.append(new[1:], len(text)) - 1] + depth
+
+
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 50, shard_bytes: int = 24 << 20, bucket_bytes: int = 32 << 20, hot: int = 512) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (bytes, flat starts and stops), one row per input row.
+
+    A shard holds about ``shard_bytes`` of text at most, a bucket the anchors of about ``bucket_bytes``.
+    """
+    if not GRAM <= depth <= GRAM + 63:
+        raise ValueError(f"depth must lie between {GRAM} and {GRAM + 63}")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), text.alias("text"))
-    base = base.withColumn("same", F.xxhash64("text"))
-    slim = materialize(base.select("doc_id", "id", "same", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole")), "suffix-docs")
-    firsts = slim.groupBy("same").agg(F.min("id").alias("first"))
-    total = slim.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    buckets = max(8, min(4096, -(-int(total) // bucket_bytes)))
-    places = shared_anchors(base.select("same", "text"), depth, buckets).groupBy("same").agg(F.collect_list("place").alias("places"))
-    places = materialize(places.join(firsts, "same").select(F.col("first").alias("p_id"), F.col("same").alias("p_same"), "places"), "suffix-places")
-    wanted = base.join(places, (F.col("id") == F.col("p_id")) & (F.col("same") == F.col("p_same"))).select("id", "text", "places")
-    # Neighbouring snippets overlap, which zstd takes out.
-    occurrences = materialize(snippets(wanted, depth).withColumn("windows", F.length("snippet") - depth + 1), "suffix-snippets", "zstd")
-    distinct = materialize(occurrences.groupBy("anchor", "name").agg(F.min("id").alias("least"), F.first("snippet").alias("snippet")), "suffix-distinct", "zstd")
-    owners = materialize(window_owners(distinct, depth, buckets), "suffix-owners")
-    spans = repeated_spans(occurrences, owners, depth)
-    spans = materialize(spans.select(F.col("id").alias("s_id"), "spans"), "suffix-spans")
-
-    # Only documents that lose part of their bytes need their text once more.
-    state = slim.join(firsts, "same")
-    copy = (F.col("id") > F.col("first")) & (F.col("n_bytes") >= depth)
-    keyed = state.select("doc_id", "id", "same", "n_bytes", "whole", copy.alias("copy")).join(spans, (F.col("id") == F.col("s_id")) & ~F.col("copy"), "left")
-    empty_sha = hashlib.sha256(b"").hexdigest()
-    none = F.lit(None).cast("array<bigint>")
-    plain = keyed.where(F.col("spans").isNull()).select(
-        "doc_id",
-        "n_bytes",
-        F.when(F.col("copy"), F.col("n_bytes")).otherwise(0).cast("long").alias("n_removed"),
-        F.when(F.col("copy"), 1).otherwise(0).cast("long").alias("n_spans"),
-        F.when(F.col("copy"), F.lit(empty_sha)).otherwise(F.col("whole")).alias("kept_sha256"),
-        F.when(F.col("copy"), F.array(F.lit(0).cast("long"), F.col("n_bytes"))).otherwise(none).alias("spans"),
-    )
-
-    def digest(batches):
-        for batch in batches:
-            out = []
-            for doc_id, value, flat in zip(*(batch.column(c) for c in range(3))):
-                raw = value.as_py().encode()
-                found = merged_spans(flat.as_py())
-                rest, at = hashlib.sha256(), 0
-                for a, b in found:
-                    rest.update(raw[at:a])
-                    at = b
-                rest.update(raw[at:])
-                out.append((doc_id.as_py(), len(raw), sum(b - a for a, b in found), len(found), rest.hexdigest(), [x for s in found for x in s]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
-
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
-    # Rows that share an id may have texts of their own, so the join is on both.
-    own = firsts.select(F.col("same").alias("f_same"), F.col("first").alias("f_id"))
-    touched = spans.join(own, F.col("s_id") == F.col("f_id")).select("s_id", "f_same", "spans")
-    partial = base.join(touched, (F.col("id") == F.col("s_id")) & (F.col("same") == F.col("f_same"))).select("doc_id", "text", "spans")
-    partial = partial.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<bigint>")
-    return plain.unionByName(partial)
+    doc_id = F.col(id_col).cast("long")
+    base = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST)).alias("id"), text.alias("text"))
+    base = base.withColumns({"sha": F.unhex(F.sha2("text", 256)), "n_bytes": F.octet_length("text").cast("long"), "row": F.monotonically_increasing_id()})
+    base = materialize(base, "suffix-docs", "zstd")
+    part = F.shiftrightunsigned("row", 33)
+    sizes = base.groupBy(part.alias("part")).agg(F.sum("n_bytes").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    cuts = max(1, -(-int(sizes[0]) // shard_bytes))
+    buckets = max(16, -(-int(sizes[1]) // bucket_bytes))
+    base = base.withColumn("shard", part * cuts + F.pmod("row", F.lit(cuts)))
+
+    # A text's first row is looked up from a few rows, so that one of many copies doesn't make a hot key.
+    several = base.where(F.col("n_bytes") >= depth).groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    several = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select("sha", "salt", "first")
+    copies = base.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(several, ["sha", "salt"]).where(F.col("id") > F.col("first"))
+    copies = materialize(copies.select("shard", "row"), "suffix-copies")
+
+    none = F.lit(None)
+    blank = {"row": none.cast("long"), "id": none.cast("long"), "bucket": none.cast("long"), "doc_id": none.cast("long"), "sha": none.cast("binary"), "text": none.cast("string"), "a": none.cast("binary"), "b": none.cast("binary")}
+    shaped = lambda df, kind, given: df.select("shard", F.lit(kind).alias("kind"), *((F.col(c) if c in given else v).alias(c) for c, v in blank.items()))
+
+    shared = materialize(shared_anchors(base, depth, buckets, hot), "suffix-shared")
+    told = shaped(shared.withColumnsRenamed({"lows": "a", "hots": "b"}), 1, {"bucket", "a", "b"})
+    rows = shaped(base, 0, {"row", "id", "text"}).union(told).union(shaped(copies, 2, {"row"}))
+    built = materialize(shard_transforms(rows, depth, buckets), "suffix-transforms", "zstd")
+    discard(shared)
+    masks = materialize(merged_buckets(built.where("bucket is not null").select("bucket", "shard", "strings", "least"), depth), "suffix-masks")
+    found = materialize(built.where("bucket is null").select("shard", F.col("strings").alias("a"), F.col("found").alias("b")), "suffix-found", "zstd")
+    discard(built)
+
+    def finish(key, table):
+        kind = table.column("kind").to_numpy()
+        texts = table.filter(pa.array(kind == 0)).select(["row", "doc_id", "sha", "text"]).combine_chunks()
+        rows = texts.column("row").to_numpy()
+        copy = np.isin(rows, table.filter(pa.array(kind == 2)).column("row").to_numpy())
+        removed: dict[int, list[int]] = {}
+        for told in table.filter(pa.array(kind == 1)).to_pylist():  # one row of occurrences
+            masks = table.filter(pa.array(kind == 3)).sort_by("bucket").column("a")
+            masks = np.concatenate([np.frombuffer(m.as_py(), "<u8") for m in masks])
+            numbers = np.frombuffer(told["a"], "<i8")
+            for text, start, stop in zip(*(x.tolist() for x in removed_spans(np.frombuffer(told["b"], OCCURRENCE), masks, depth))):
+                removed.setdefault(int(numbers[text]), []).extend((start, stop))
+        held, ends = flat(texts.column("text"))
+        sizes = np.diff(ends)
+        lost, spans, shas = np.where(copy, sizes, 0), [], [x.hex() for x in texts.column("sha").to_pylist()]
+        for k, row in enumerate(rows.tolist()):
+            cut = [0, int(sizes[k])] if copy[k] else removed.get(row, [])
+            if cut:
+                rest, at = hashlib.sha256(), int(ends[k])
+                for a, b in zip(cut[::2], cut[1::2]):
+                    rest.update(held[at : ends[k] + a])
+                    at = int(ends[k]) + b
+                rest.update(held[at : ends[k + 1]])
+                shas[k], lost[k] = rest.hexdigest(), sum(cut[1::2]) - sum(cut[::2])
+            spans.append(cut)
+        counts = np.array([len(s) // 2 for s in spans], np.int64)
+        columns = [texts.column("doc_id"), sizes, lost, counts, pa.array(shas, pa.string()), pa.array(spans, pa.list_(pa.int64()))]
+        return pa.table(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+
+    rows = shaped(base, 0, {"row", "doc_id", "sha", "text"}).union(shaped(found, 1, {"a", "b"})).union(shaped(copies, 2, {"row"}))
+    rows = rows.union(shaped(masks.withColumnRenamed("masks", "a"), 3, {"bucket", "a"}))
+    return rows.groupBy("shard").applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<bigint>")
 
 
 def op7_query(spark, sf_dir: str) -> DataFrame:

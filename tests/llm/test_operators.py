@@ -182,35 +182,51 @@ def test_sharding(spark, odd, none):
     assert len(sizes) == 16 and max(sizes.values()) < 1.02 * sum(sizes.values()) / 16
 
 
-def test_bwt_merge_matches_plain_search():
+def test_merged_transforms_match_plain_search():
     rng = random.Random(2)
-    for _ in range(30):
-        strings = [bytes(rng.choice(b"ab\x00") for _ in range(rng.randint(0, 40))) for _ in range(rng.randint(1, 30))]
-        depth, values = rng.randint(1, 9), np.array([rng.randrange(99) for _ in strings])
-        least = {}
-        for text, v in zip(strings, values):
-            for k in range(len(text) - depth + 1):
-                least[text[k : k + depth]] = min(least.get(text[k : k + depth], 1 << 60), v)
-        for text, out in zip(strings, bwt.least_by_prefix(strings, values, depth, shard_strings=rng.randint(1, 9))):
-            assert [least[text[k : k + depth]] for k in range(len(text) - depth + 1)] == out.tolist()
-
-
-def test_suffix_dedup(spark, odd, none):
-    assert len(suffix_dedup.suffix_dedup(odd).collect()) == len(odd_rows()) and suffix_dedup.suffix_dedup(none).count() == 0
-    rng = random.Random(8)
-    parts = ["".join(rng.choice("abcd é") for _ in range(rng.randint(20, 90))) for _ in range(8)]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 4))) for _ in range(40)] + ["ab" * 60, "x" + "ab" * 60]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r for r in suffix_dedup.suffix_dedup(docs).collect()}
-    seen = set()
-    for k, text in enumerate(texts):
-        raw = text.encode()
-        windows = [raw[a : a + 50] for a in range(len(raw) - 49)]
-        gone = {a + j for a, w in enumerate(windows) if w in seen for j in range(50)}
-        seen.update(windows)
+    for _ in range(60):
+        width, n = rng.randint(6, 14), rng.randint(1, 60)
+        depth = rng.randint(2, width)
+        rows = np.array([[rng.choice(b"abc") for _ in range(width)] for _ in range(n)], np.uint8)
+        for row in rows:
+            row[: rng.choice([0, 0, 1, 2])] = row[width - rng.choice([0, 0, 1, 2]) :] = bwt.END
+        least = np.array([rng.randint(0, 9) for _ in range(n)])
+        cuts = sorted(rng.sample(range(1, n + 1), rng.randint(0, min(4, n))))
+        got = bwt.merged_repeats([bwt.transform(part, np.zeros(len(part), np.int64)) for part in np.split(rows, cuts)], least, depth)
+        for i in range(n):
+            for c in range(width - depth + 1):
+                window = rows[i, c : c + depth]
+                lesser = any((rows[j, c : c + depth] == window).all() and least[j] < least[i] for j in range(n))
+                assert bool(int(got[i]) >> c & 1) == (lesser and bool((window != bwt.END).all()))
+
+
+def _deduped(rows, depth=50):
+    """Counts and digests by every window of every text."""
+    last, first, out = 1 << 63, {}, []
+    rows = [(last if i is None else i, (t or "").encode()) for i, t in rows]
+    for i, raw in rows:
+        for a in range(len(raw) - depth + 1):
+            first[raw[a : a + depth]] = min(i, first.get(raw[a : a + depth], last))
+    for i, raw in rows:
+        gone = {a + j for a in range(len(raw) - depth + 1) if first[raw[a : a + depth]] < i for j in range(depth)}
         kept = bytes(b for a, b in enumerate(raw) if a not in gone)
-        spans = sum(a in gone and a - 1 not in gone for a in range(len(raw)))
-        assert (got[k]["n_removed"], got[k]["n_spans"], got[k]["kept_sha256"]) == (len(gone), spans, hashlib.sha256(kept).hexdigest())
+        out.append((i, len(raw), len(gone), sum(a - 1 not in gone for a in gone), hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("hot", [512, 2])
+def test_suffix_dedup(spark, odd, none, hot):
+    assert len(suffix_dedup.suffix_dedup(odd, hot=hot).collect()) == len(odd_rows()) and suffix_dedup.suffix_dedup(none).count() == 0
+    rng = random.Random(8)
+    line = "this is a line that stands in every document of the lot, and some more"
+    parts = ["".join(rng.choice("abcd é") for _ in range(rng.randint(20, 90))) for _ in range(10)]
+    one = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(0, 5))) + "".join(rng.choice("xyz") for _ in range(rng.randint(0, 40)))
+    rows = [(rng.choice([None, *range(60)]), one() + line) for _ in range(80)]  # ids are shared by different texts, or null
+    rows += [(200, "ab" * 60), (201, "x" + "ab" * 60), (202, None), (203, ""), (None, None), *rows[:5], *((300 + k, rows[0][1]) for k in range(10))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = suffix_dedup.suffix_dedup(docs, shard_bytes=2000, bucket_bytes=3000, hot=hot).collect()
+    last = 1 << 63
+    assert sorted((last if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == _deduped(rows)
 
 
 def test_viterbi_with_certain_tokens_is_viterbi():
