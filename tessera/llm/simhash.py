@@ -9,8 +9,10 @@ links, which joins the same fingerprints as all its links do, so a group of
 thousands of near copies yields as many rows as it has members.
 
 Defined results for odd input: null and empty texts have no words and the
-fingerprint zero; repeated rows are returned once each; null ids never name a
-component unless all of its ids are null; further columns are ignored.
+fingerprint zero; a bit set in just half of the shingles is not set; very long
+texts are read whole; repeated rows are returned once each; null ids never name a
+component unless all of its ids are null; an empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +34,15 @@ TILE_ROWS = 2048
 BLOCK = 1 << 16  # shingles whose bits are counted at a time
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    counts = np.zeros(LANE_BITS, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        part = hashes[at : at + BLOCK]
+        counts += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str | None, words: int = 3, lanes: int = 1, seed: int = 42) -> tuple[list[int], int]:
     """The lanes as unsigned ints, and the number of shingles, of one whole text."""
     from xxhash import xxh64_intdigest
@@ -40,15 +51,8 @@ def fingerprint(text: str | None, words: int = 3, lanes: int = 1, seed: int = 42
     if not found:
         return [0] * lanes, 0
     shingles = list(map(b" ".join, zip(*(found[k:] for k in range(words))))) if len(found) >= words else [b" ".join(found)]
-    n, out = len(shingles), []
-    for lane in range(lanes):
-        hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(seed + lane)), dtype=np.uint64, count=n)
-        counts = np.zeros(LANE_BITS, np.int64)
-        for at in range(0, n, BLOCK):
-            part = hashes[at : at + BLOCK]
-            counts += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0]))
-    return out, n
+    n = len(shingles)
+    return [majority(np.fromiter(map(xxh64_intdigest, shingles, repeat(seed + lane)), dtype=np.uint64, count=n)) for lane in range(lanes)], n
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, lanes: int) -> DataFrame:
@@ -142,7 +146,9 @@ def fingerprint_links(prints: DataFrame, lanes: int, radius: int, parts: int, st
         F.col("fps").alias("fps_a"),
         F.col("bits").alias("bits_a"),
     )
-    pairs = left.join(tiles, key).where(~F.col("own_key") | (F.col("sub_a") <= F.col("sub")))
+    # Pairs of tiles are dealt out by the second one, so those of one key spread over tasks.
+    left = left.join(sizes, key).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+    pairs = left.where(~F.col("own_key") | (F.col("sub_a") <= F.col("sub"))).join(tiles, [*key, "sub"])
     pairs = pairs.select("fps_a", "bits_a", "fps", "bits", (F.col("own_key") & (F.col("sub_a") == F.col("sub"))).alias("same"))
 
     def run(batches):
@@ -183,8 +189,8 @@ def near_duplicates(
     band = (F.log(F.greatest(F.col("n_shingles"), F.lit(1)).cast("double")) / math.log(1 / similarity)).cast("int") if similarity else F.lit(0)
     prints = prints.withColumn("band", band)
     same = [*names, "band"]
-    # The name of a distinct fingerprint: itself, or a hash where it has more than one long.
-    name = F.col("lane0") if same == ["lane0", "band"] and not similarity else F.xxhash64(*same)
+    # The name of a distinct fingerprint: itself, or a number (which writing it fixes) where it has more than one long.
+    name = F.col("lane0") if same == ["lane0", "band"] and not similarity else F.monotonically_increasing_id()
     distinct = materialize(prints.groupBy(*same).agg(F.min("doc_id").alias("least")).withColumn("fp", name), "distinct")
     coarse = radius > 4
     links = fingerprint_links(distinct, lanes, radius, 1 if coarse else 4 * lanes, radius + 1 if coarse else 1, "band" if similarity else None)
