@@ -6,15 +6,19 @@ k + 1 pieces: a match with k edits leaves one piece untouched. An automaton
 finds all exact piece hits in one pass over a text. A hit is checked from small
 to large: of a part of j neighbouring pieces j - 1 edits are allowed, which by
 the same argument some chain of parts from a piece up to the whole item meets.
-Each check is Myers' bit-parallel distance; chance hits end at the first one.
+Each check is Myers' bit-parallel distance; chance hits end at the first one. A
+part that passes all checks is read once more with room for all alignments that
+its other pieces can have, so the distance told is the least there is. Items so
+short that their budget is nil must stand as whole words.
 
 Items are shipped in blocks of bounded bytes, one pass over the documents for
 each block, so a large benchmark costs passes and never memory.
 
-Defined results for odd input: null and empty texts match nothing; items with
-fewer than ``min_chars`` reduced characters (nulls too) are no test of anything
-and are left out; repeated rows on either side each give their rows; further
-columns are ignored.
+Defined results for odd input: null and empty texts match nothing, nor do items
+without a letter or digit (nulls too); of places of equal distance the first is
+told; very long texts are read whole; repeated rows on either side each give
+their rows; an empty table on either side gives no rows; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -97,31 +101,37 @@ class Matcher:
     def find(self, text: str) -> dict[int, tuple[int, int, int]]:
         """Item number to (distance, start, stop) of its best match in the reduced text; the first of equals."""
         found: dict[int, tuple[int, int, int]] = {}
+        read: dict[int, list[int]] = {}  # item to the origins whose surroundings have been read
         if self.empty or not text:
             return found
         for last, (size, places) in self.automaton.iter(text):
             start = last + 1 - size
             for n, leaf in places:
-                seen = found.get(n)
-                if seen and (seen[0] == 0 or seen[1] <= start < seen[2]):
+                seen, budget = found.get(n), self.budgets[n]
+                if seen and seen[0] == 0:
                     continue
                 cuts, chains = self.parts[n]
-                origin = start - cuts[leaf]  # where the item would start without edits
-                item, hit = self.items[n][1], (0, size)
+                item, origin = self.items[n][1], start - cuts[leaf]  # where the item would start without edits
+                if not budget:
+                    if (start == 0 or text[start - 1] == " ") and text[last + 1 : last + 2] in ("", " "):
+                        found[n] = (0, start, last + 1)
+                    continue
+                if any(abs(origin - o) <= budget for o in read.get(n, ())):
+                    continue
                 for lo, hi, most in chains[leaf]:
                     begin = max(0, origin + lo - most)
-                    hit = myers(item[lo:hi], text[begin : max(0, origin + hi + most)], most)
-                    if hit is None:
+                    if myers(item[lo:hi], text[begin : max(0, origin + hi + most)], most) is None:
                         break
                 else:
-                    if chains[leaf]:
-                        stop = max(0, origin - self.budgets[n]) + hit[1]
-                    else:
-                        stop = start + size
-                    if not seen or hit[0] < seen[0]:
+                    # Alignments by other pieces of the same place start at most ``budget`` apart.
+                    read.setdefault(n, []).append(origin)
+                    begin = max(0, origin - 2 * budget)
+                    distance, stop = myers(item, text[begin : origin + len(item) + 2 * budget], budget)
+                    if not seen or distance < seen[0]:
+                        stop += begin
                         # The best match's start: the same distance, read backwards from its end.
-                        back = myers(item[::-1], text[max(0, stop - len(item) - hit[0]) : stop][::-1], hit[0])
-                        found[n] = (hit[0], stop - (back[1] if back else len(item)), stop)
+                        back = myers(item[::-1], text[max(0, stop - len(item) - distance) : stop][::-1], distance)
+                        found[n] = (distance, stop - (back[1] if back else len(item)), stop)
         return found
 
 
@@ -158,14 +168,13 @@ def contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     rate: float = 0.08,
-    min_chars: int = 40,
     block_bytes: int = 8 << 20,
 ) -> DataFrame:
     """doc_id, item_id, distance, start, stop: each item that a document holds within its budget, at its best place."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
     out = None
     for block in blocks_of(items, item_col, item_text_col, block_bytes):
-        kept = [(i, r) for i, t in block if len(r := reduced(t)) >= min_chars]
+        kept = [(i, r) for i, t in block if (r := reduced(t))]
 
         def run(batches, kept=kept):
             matcher = Matcher(kept, rate)
