@@ -6,13 +6,16 @@ bytes. Medians are found without sorting or collecting rows: each document has,
 for each dimension, an ordinate of 62 bits (the scaled value, then the text's
 checksum, then a hash of the row, so equal values still have an order and equal
 texts stay side by side), and a few rounds of counting bytes by ever finer digits
-of the ordinate close in on the median of every node of a level at once.
+of the ordinate close in on the median of every node of a level at once. A cut
+that would part a group of equal texts moves to the group's nearer end, unless
+the group is too large a share of a shard.
 
 Rows get gapless slots in two steps, by buckets of each shard and within them,
 so no task sorts a whole shard.
 
 Defined results for odd input: a null text has no bytes, and each document
-counts one byte more for its end; null metadata lies below all values; repeated
+counts one byte more for its end; a very long text is placed whole, so it can
+make its shard larger; null metadata lies below all values; repeated
 rows are placed once each, though where they are alike in all that the ordinate
 holds they stay together; further columns are ignored; an empty table gives no
 rows.
@@ -28,6 +31,7 @@ from tessera.llm.common import materialize
 
 VALUE_BITS, TIE_BITS = 20, 42
 DIGIT_BITS, ROUNDS = 12, 5  # 60 of the 62 bits are told apart
+ROW_BITS = TIE_BITS - 24  # below the checksum: a hash of the row
 BUCKET_ROWS = 50_000
 
 
@@ -47,8 +51,8 @@ def metadata(docs: DataFrame, id_col: str, text_col: str, dimensions: dict) -> D
         F.crc32(text).alias("text_crc32"),
         *(c.cast("double").alias(f"v{k}") for k, c in enumerate(dimensions.values())),
     )
-    row = F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id()).bitwiseAND((1 << (TIE_BITS - 24)) - 1)
-    base = materialize(base.withColumn("_tie", F.shiftleft(F.shiftright("text_crc32", 8), TIE_BITS - 24).bitwiseOR(row)), "shard-meta")
+    row = F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id()).bitwiseAND((1 << ROW_BITS) - 1)
+    base = materialize(base.withColumn("_tie", F.shiftleft(F.shiftright("text_crc32", 8), ROW_BITS).bitwiseOR(row)), "shard-meta")
     names = [f"v{k}" for k in range(len(dimensions))]
     ends = base.agg(*(f(n).alias(f"{g}_{n}") for n in names for f, g in ((F.min, "lo"), (F.max, "hi")))).first()
     ordinates = [_ordinate(F.col(n), ends[f"lo_{n}"] or 0.0, ends[f"hi_{n}"] or 0.0).alias(f"d{k}") for k, n in enumerate(names)]
@@ -83,8 +87,26 @@ def _medians(rows: DataFrame, open_: dict[int, tuple[int, float]]) -> dict[int,
     return {n: (upper + 1) << shift for n, (upper, _) in found.items()}
 
 
-def split_tree(rows: DataFrame, shards: int, dimensions: int) -> DataFrame:
-    """Adds shard: leaves of a tree whose nodes split until each holds the bytes of one shard."""
+def _whole_groups(rows: DataFrame, cuts: dict[int, int], open_: dict[int, tuple[int, float]], shards_in: dict[int, int], share: float) -> dict[int, int]:
+    """The cuts, moved to the nearer end of the group of equal texts that they would part, if its bytes are ``share`` of a shard's at most."""
+    pick = F.coalesce(*(F.when(F.col("node") == n, F.col(f"d{open_[n][0]}")) for n in cuts))
+    cut = F.coalesce(*(F.when(F.col("node") == n, F.lit(c)) for n, c in cuts.items()))
+    own = F.shiftright("_o", ROW_BITS) == F.shiftright("_c", ROW_BITS)
+    part = lambda side: F.coalesce(F.sum(F.when(own & side, F.col("size"))), F.lit(0))
+    met = rows.where(F.col("node").isin(*cuts)).withColumns({"_o": pick, "_c": cut})
+    moved = dict(cuts)
+    for r in met.groupBy("node").agg(F.sum("size").alias("whole"), part(F.col("_o") < F.col("_c")).alias("left"), part(F.col("_o") >= F.col("_c")).alias("right")).collect():  # a row a node
+        group = cuts[r["node"]] >> ROW_BITS
+        if r["left"] and r["right"] and r["left"] + r["right"] <= share * r["whole"] / shards_in[r["node"]]:
+            moved[r["node"]] = (group + (r["left"] > r["right"])) << ROW_BITS
+    return moved
+
+
+def split_tree(rows: DataFrame, shards: int, dimensions: int, share: float = 0.02) -> DataFrame:
+    """Adds shard: leaves of a tree whose nodes split until each holds the bytes of one shard.
+
+    Groups of equal texts with at most ``share`` of a shard's bytes stay whole.
+    """
     nodes = {0: shards}  # node to the number of shards in it
     rows = rows.withColumn("node", F.lit(0))
     level = 0
@@ -95,7 +117,7 @@ def split_tree(rows: DataFrame, shards: int, dimensions: int) -> DataFrame:
         )
         widest = {r["node"]: max(range(dimensions), key=lambda d: (r[f"s{d}"], -d)) for r in spans.collect()}  # a row a node
         open_ = {n: (widest[n], (nodes[n] // 2) / nodes[n]) for n in wide if n in widest}
-        cuts = _medians(rows, open_) if open_ else {}
+        cuts = _whole_groups(rows, _medians(rows, open_), open_, nodes, share) if open_ else {}
         parts, moved = {}, F.col("node")
         for n, count in nodes.items():
             if count == 1:
