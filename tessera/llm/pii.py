@@ -7,8 +7,10 @@ mail addresses and street addresses. It is trained on a small labelled table
 (``labelled_lines``) and decoded by Viterbi in numpy batches.
 
 Defined results for odd input: a null text is empty and has no spans; repeated
-rows are scanned and returned once each; further columns are ignored. A line is
-one sequence whatever its length.
+rows are scanned and returned once each; spans with one start go by the order of
+kinds; a field's span gives way to a base span that it meets; a line is one
+sequence whatever its length, and words are read whole; an empty table gives no
+rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,14 +53,14 @@ def word_features(word: str) -> tuple:
         shape = "x" if core.islower() else "X" if core.isupper() else "Xx" if core[0].isupper() and (len(core) == 1 or core[1:].islower()) else "xX"
         return ("bias", "shape=" + shape, "digits=0", "ends") if len(core) < len(word) else ("bias", "shape=" + shape, "digits=0")
     shape, before, run = [], "", 0
-    for c in core[:64]:
+    for c in core:
         k = "d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c if c in _PUNCT else "o"
         run = run + 1 if k == before else 1
         if run == 1 or (k == "d" and run <= 5):
             shape.append(k)
         before = k
-    digits = sum(c.isdigit() for c in core[:64])
-    out = ["bias", "shape=" + "".join(shape)[:16], f"digits={min(digits, 10)}"]
+    digits = sum(c.isdigit() for c in core)
+    out = ["bias", "shape=" + "".join(shape), f"digits={min(digits, 10)}"]
     if cue:
         out.append("cue=" + cue)
     if len(core) < len(word):
