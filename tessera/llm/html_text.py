@@ -8,7 +8,8 @@ on labelled pages (``labelled_pages``) and decoded by Viterbi.
 
 Defined results for odd input: null and empty pages have an empty text; broken
 markup closes at the next border (an unclosed script, style or comment hides
-the rest of the page, as in browsers); repeated rows give their rows; further
+the rest of the page, as in browsers); nesting has no limit; very long pages are
+read whole; repeated rows give their rows; an empty table gives no rows; further
 columns are ignored.
 """
 
@@ -55,7 +56,8 @@ STOCK = {
     "go": "home next previous login share follow search menu read more",
 }
 _STOCK = {w: k for k, words in STOCK.items() for w in words.split()}
-_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*+)[^<>]*>?""")
+# A quoted value may hold < and >, if what follows its end can follow a value; else the quote is a stray one and the tag ends at the next >.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*(?:"[^"]*"|'[^']*')(?=[\s/>])|[^<>"']|"[^"<]*"|'[^'<]*')*+)[^<>]*>?""")
 _ATTR = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPLIT = re.compile(r"[\s_]+")
 _RAW_END = {n: re.compile(rf"</{n}\b[^>]*>?", re.I) for n in RAW}
