@@ -1,6 +1,7 @@
 """Each operator on small tables: against brute force, and on odd rows, ties and empty tables."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import bwt, crf, decontamination, html_text, packing, pii, quality_rules, secret_scan, sharding, simhash, suffix_dedup, tokens, toxicity
@@ -61,13 +63,31 @@ def test_quality_rules(spark, odd, none):
         assert (r["n_dup_lines"], r["n_repeat_words"]) == (len(lines) - len(set(lines)), len(hit))
 
 
-def test_strict_rules_bind_on_rejected_hosts_only(spark):
+def test_hosts_decide(spark):
+    """The same text goes on a host that fails often and stays on others; clean texts stay on either."""
     clean = " ".join(f"clean{k}" for k in range(80))
     junk = " ".join(f"## junk{k}" for k in range(80))
     soft = " ".join(["#"] * 6 + [f"mostly{k}" for k in range(80)])
-    rows = [(k, junk, "bad") for k in range(50)] + [(100, soft, "bad"), (101, clean, "bad"), (102, soft, "good")] + [(200 + k, clean, "good") for k in range(50)]
-    kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    rows = [(k, junk, "bad") for k in range(50)] + [(100, soft, "bad"), (101, clean, "bad"), (102, soft, "good"), (103, soft, "small"), (104, clean, "small")] + [(200 + k, clean, "good") for k in range(50)]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    kept = {k: r["kept"] for k, r in got.items()}
     assert not kept[0] and not kept[100] and kept[101] and kept[102] and kept[200]
+    assert got[0]["host_rejected"] and not got[200]["host_rejected"]
+    # A host of two documents, one of them failed, stays near the corpus.
+    assert got[102]["shrunk_rate"] < got[103]["shrunk_rate"] < got[100]["shrunk_rate"] and not got[103]["host_rejected"]
+
+
+def test_repeats_by_whole_hashes(spark):
+    """A window that sorts between two equal ones by part of its hash doesn't hide them."""
+    words = [f"w{k}" for k in range(3000)]
+    rng = random.Random(9)
+    many = [rng.choice(words) for _ in range(60_000)]
+    text = " ".join(many + ["a1 b1 c1 x y z", "a1 b1 c1"])
+    grams = Counter(zip(text.split(), text.split()[1:], text.split()[2:]))
+    found = text.split()
+    hit = {k + j for k in range(len(found) - 2) if grams[tuple(found[k : k + 3])] > 1 for j in range(3)}
+    row = quality_rules.quality_rules(spark.createDataFrame([(1, text, "h")], "doc_id long, text string, source string")).first()
+    assert row["n_repeat_words"] == len(hit)
 
 
 def test_components(spark):
@@ -87,6 +107,14 @@ def test_simhash(spark, odd, none):
     assert len(got) == len(odd_rows()) and {r["fingerprint"] for r in got if r["doc_id"] in (0, 1, 2)} == {"0" * 16}
     assert {r["component_id"] for r in got if r["doc_id"] in (0, 1, 2)} == {0}
     assert simhash.near_duplicates(none).count() == 0
+    for r in got:
+        text = {k: t for k, t, *_ in odd_rows()}[r["doc_id"]] if r["doc_id"] is not None else None
+        if r["doc_id"] is not None:
+            words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+            grams = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] * bool(words)
+            hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+            bits = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+            assert r["fingerprint"] == f"{bits:016x}"
     rng = np.random.default_rng(3)
     prints = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
     prints = np.concatenate([prints, prints[:80] ^ np.uint64(5), prints[:40] ^ np.uint64(4 << 40)])
@@ -135,6 +163,8 @@ def test_links_reach_exactly_the_scope(spark):
 def test_decontamination(spark, odd, none, items):
     got = decontamination.contamination(odd, items).collect()
     assert {(r["doc_id"], r["item_id"], r["distance"]) for r in got} == {(3, 2, 0)} and len(got) == 2
+    short = spark.createDataFrame([(7, "Word7, word8!"), (8, "ord9 w"), (9, "--")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.contamination(odd, short).collect()} == {(3, 7)}
     assert decontamination.contamination(none, items).count() == 0
     assert decontamination.contamination(odd, items.limit(0)).count() == 0
     text = "the quick brown fox jumps over the lazy dog and then it sleeps for a while"
@@ -155,9 +185,10 @@ def test_myers_and_pieces_match_brute_force():
         return min(before)
 
     word = lambda n: "".join(rng.choice("abcde fg") for _ in range(n))
-    items = [(k, t) for k in range(6) if len(t := decontamination.reduced(word(90))) >= 40]
+    items = [(k, decontamination.reduced(word(n))) for k, n in enumerate((90, 90, 70, 90, 16, 20, 30))]
+    items = [(k, t) for k, t in items if len(t) >= 13]
     matcher = decontamination.Matcher(items, 0.08)
-    for _ in range(60):
+    for _ in range(150):
         s = list(rng.choice(items)[1])
         for _ in range(rng.randint(0, 9)):
             k = rng.randrange(len(s))
@@ -182,6 +213,23 @@ def test_sharding(spark, odd, none):
     assert len(sizes) == 16 and max(sizes.values()) < 1.02 * sum(sizes.values()) / 16
 
 
+def test_equal_texts_share_a_shard(spark):
+    """Small groups of equal texts stay whole, one that fills several shards is cut; sizes, checksums and slots are right."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abc ") for _ in range(rng.randint(20, 300))) for _ in range(900)]
+    rows = [(k, t, "en", "s") for k, t in enumerate(texts + [t for t in texts[:300] for _ in range(2)] + ["hot " * 50] * 700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in sharding.shard_documents(docs, shards=8).collect()}
+    where, bytes_in = {}, Counter()
+    for k, text, *_ in rows:
+        r = got[k]
+        assert (r["size"], r["text_crc32"]) == (len(text.encode()) + 1, zlib.crc32(text.encode()))
+        where.setdefault(text, set()).add(r["shard"])
+        bytes_in[r["shard"]] += r["size"]
+    assert all(len(s) == 1 for t, s in where.items() if not t.startswith("hot")) and len(where["hot " * 50]) > 1
+    assert max(bytes_in.values()) < 1.06 * sum(bytes_in.values()) / 8
+
+
 def test_merged_transforms_match_plain_search():
     rng = random.Random(2)
     for _ in range(60):
@@ -289,8 +337,61 @@ def test_packing(odd, none):
 
 def test_neighbours_share_terms():
     texts = [np.array(x) for x in ([1, 2, 3, 9], [7, 8, 9], [1, 2, 3, 4, 9], [5, 6, 9])]
-    index = packing.ShardIndex(texts, 16)
-    assert index.neighbours(0, np.array([False, True, True, True]), 10)[0] == 2
+    index = packing.ShardIndex(texts, 16, np.ones(10), 3.5)
+    assert index.neighbours(0, np.array([False, True, True, True]))[0] == 2
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 40, rng.integers(1, 30)) for _ in range(60)]
+    held = np.array([sum(t in x for x in texts) for t in range(40)])
+    idf, mean = np.log1p((60 - held + 0.5) / (held + 0.5)), np.mean([len(t) for t in texts])
+    index, unused = packing.ShardIndex(texts, 99, idf, mean), rng.random(60) < 0.7
+    for seed in range(60):
+        score = np.zeros(60)
+        for k, x in enumerate(texts):
+            for t in np.unique(texts[seed]):
+                tf = (x == t).sum()
+                score[k] += idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(x) / mean))
+        got = index.neighbours(seed, unused)
+        assert set(got) == set(np.nonzero((score > 0) & unused)[0])
+        assert np.all(np.diff(np.round(score[got], 9)) <= 0)
+
+
+def test_alike_documents_meet_in_a_window(spark):
+    """Copies with edits among many others share a sequence, though shards hold a small part of the corpus."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(3000)]
+    groups = []
+    for k in range(150):
+        base = [rng.choice(words) for _ in range(60)]
+        copies = [[w if rng.random() > 0.05 else rng.choice(words) for w in base] for _ in range(4)]
+        groups += [(k, " ".join(c)) for c in copies]
+    rng.shuffle(groups)
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(groups)], "doc_id long, text string").repartition(6)
+    at = {r["doc_id"]: r["sequence_id"] for r in packing.pack(docs, window=2048, shard_tokens=1 << 14).collect() if r["start"] == 0}
+    together = sum(at[i] == at[j] for i in range(600) for j in range(i) if groups[i][0] == groups[j][0])
+    assert together > 0.5 * 900
+
+
+def test_viterbi_is_the_best_labelling():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        emissions, transitions = rng.normal(size=(int(rng.integers(1, 5)), 3)), rng.normal(size=(3, 3))
+        paths = itertools.product(range(3), repeat=len(emissions))
+        best = max(paths, key=lambda p: sum(emissions[t, y] for t, y in enumerate(p)) + sum(transitions[a, b] for a, b in zip(p, p[1:])))
+        assert crf.viterbi([emissions], transitions)[0].tolist() == list(best)
+
+
+def test_words_are_read_whole():
+    a, b = "1" * 70 + "x@", "1" * 70 + "x#"
+    assert pii.word_features(a) != pii.word_features(b)
+
+
+def test_html_attributes_may_hold_brackets(spark):
+    pages = ['<p title="1 < 2 > 0">hello</p>', "<p title='a<b>c' class=x>hello</p>", '<p title="stray>hello</p>', '<a href="x>hello</a>', "<div>" * 70 + "<article><p>hello</p></article>"]
+    assert [[t for t, *_ in html_text.leaf_blocks(p)] for p in pages] == [["hello"]] * 5
+    rows = [(k, "u", "<article><p>A plain text of some words, as articles have.</p></article>" if k else "<div>" * depth + "<article><p>A plain text of some words, as articles have.</p></article>", 7) for k, depth in ((0, 70), (1, 0), (0, 5000))]
+    got = html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long")).collect()
+    assert {r["text"] for r in got} == {"A plain text of some words, as articles have."} and len(got) == 3
+    assert html_text.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
 def test_html(spark):
