@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import analyzed_terms
+from tessera.functions.text import STEM, STOPWORDS, TOKEN, analyzed_terms
+from tessera.sources.shared import kept, state_of
 
 
 @dataclass(frozen=True)
 class Index:
-    """Postings (field, term, doc_id, tf, positions), lengths (field, doc_id, length) and the stored rows.
+    """Postings (field, term, doc_id, tf, length, positions), lengths (field, doc_id, length) and the stored rows.
 
+    ``length`` stands with each posting, so ranking joins nothing by document.
+    ``terms`` (field, term, df, total_tf) and ``fields`` (field, n_docs,
+    average_length) are the statistics where they are stored with the index.
     ``tombstones`` (doc_id) are deleted rows: they still count in statistics,
     and no search returns them.
     """
@@ -22,19 +27,25 @@ class Index:
     lengths: DataFrame
     stored: DataFrame
     tombstones: DataFrame | None = None
+    terms: DataFrame | None = None
+    fields: DataFrame | None = None
 
     def field_stats(self) -> DataFrame:
         """field, n_docs and average_length over all rows, those without the field included."""
+        if self.fields is not None:
+            return self.fields
         return self.lengths.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("average_length"))
 
     def term_stats(self) -> DataFrame:
         """field, term, df and total_tf."""
+        if self.terms is not None:
+            return self.terms
         return self.postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
 
     def delete(self, ids: DataFrame) -> Index:
         """The index with more tombstones; ids has a doc_id column."""
         gone = ids.select("doc_id") if self.tombstones is None else self.tombstones.unionByName(ids.select("doc_id"))
-        return Index(self.postings, self.lengths, self.stored, gone.distinct())
+        return replace(self, tombstones=gone.distinct())
 
     def compacted(self) -> Index:
         """The index rewritten without its tombstones."""
@@ -43,32 +54,49 @@ class Index:
         live = lambda df: df.join(self.tombstones, "doc_id", "left_anti")
         return Index(live(self.postings), live(self.lengths), live(self.stored))
 
-    def write(self, path: str) -> None:
-        """Parquet folders below the path; postings sorted by term within files, so term filters skip row groups."""
-        self.postings.repartition("field", "term").sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-        self.stored.write.mode("overwrite").parquet(f"{path}/stored")
+    def added(self, other: Index) -> Index:
+        """One index of the documents of both, which must not share ids; statistics are counted anew."""
+        gone = [i.tombstones for i in (self, other) if i.tombstones is not None]
+        both = lambda name: getattr(self, name).unionByName(getattr(other, name), allowMissingColumns=True)
+        return Index(both("postings"), both("lengths"), both("stored"), (gone[0] if len(gone) < 2 else gone[0].unionByName(gone[1])) if gone else None)
+
+    def write(self, path: str, with_stored: bool = True) -> None:
+        """Parquet folders below the path.
+
+        Postings are dealt out by ranges of (field, term, doc_id), so a search
+        reads the pages of its terms and a term that all documents hold spreads
+        over tasks.
+        """
+        order = ["field", "term", "doc_id"]
+        self.postings.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{path}/postings")
+        spark = self.postings.sparkSession
+        back = Index(spark.read.parquet(f"{path}/postings"), self.lengths, self.stored)
+        back.term_stats().repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{path}/terms")
+        self.lengths.write.parquet(f"{path}/lengths")
+        replace(back, lengths=spark.read.parquet(f"{path}/lengths")).field_stats().write.parquet(f"{path}/fields")
+        if with_stored:
+            self.stored.write.parquet(f"{path}/stored")
         if self.tombstones is not None:
-            self.tombstones.write.mode("overwrite").parquet(f"{path}/tombstones")
+            self.tombstones.write.parquet(f"{path}/tombstones")
 
 
 def build_index(docs: DataFrame, text_fields: dict[str, Column], id_col: str = "doc_id") -> Index:
-    """Inverts the named text fields. Terms are counted in each row before anything is shuffled: one row a document and term leaves the scan."""
+    """Inverts the named text fields. Terms are counted in each row's task before anything is shuffled: one row a document and term leaves it."""
     postings, lengths = [], []
     for name, column in text_fields.items():
         terms = docs.select(F.col(id_col).alias("doc_id"), analyzed_terms(column).alias("terms"))
         lengths.append(terms.select(F.lit(name).alias("field"), "doc_id", F.size("terms").alias("length")))
-        rows = terms.select("doc_id", F.posexplode("terms").alias("pos", "term"))
+        rows = terms.select("doc_id", F.size("terms").alias("length"), F.posexplode("terms").alias("pos", "term"))
         postings.append(
             rows.groupBy("doc_id", "term")
-            .agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-            .select(F.lit(name).alias("field"), "term", "doc_id", "tf", "positions")
+            .agg(F.count(F.lit(1)).cast("int").alias("tf"), F.max("length").alias("length"), F.sort_array(F.collect_list("pos")).alias("positions"))
+            .select(F.lit(name).alias("field"), "term", "doc_id", "tf", "length", "positions")
         )
     both = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(both(frames[1:]))
     return Index(both(postings), both(lengths), docs)
 
 
-def open_index(spark: SparkSession, path: str) -> Index:
+def open_index(spark: SparkSession, path: str, stored: DataFrame | None = None) -> Index:
     read = lambda name: spark.read.parquet(f"{path}/{name}")
     try:
         gone = read("tombstones")
@@ -76,4 +104,20 @@ def open_index(spark: SparkSession, path: str) -> Index:
         if "PATH_NOT_FOUND" not in str(error):
             raise
         gone = None
-    return Index(read("postings"), read("lengths"), read("stored"), gone)
+    return Index(read("postings"), read("lengths"), read("stored") if stored is None else stored, gone, read("terms"), read("fields"))
+
+
+def stored_index(docs: DataFrame, text_fields: dict[str, Column], id_col: str = "doc_id") -> Index:
+    """The index of a table of files, built once for a state of the files and kept in the shared folder.
+
+    The name holds the files' names, sizes and times, the fields and the
+    analysis, so a table that changes gets an index of its own. A table without
+    files is inverted on the spot.
+    """
+    state = state_of(docs)
+    if state is None:
+        return build_index(docs, text_fields, id_col)
+    said = "|".join([state, id_col, *(f"{k}={v}" for k, v in text_fields.items()), TOKEN, STEM, *STOPWORDS])
+    name = f"index-{hashlib.sha256(said.encode()).hexdigest()[:32]}"
+    path = kept(docs.sparkSession, name, lambda at: build_index(docs, text_fields, id_col).write(at, with_stored=False))
+    return open_index(docs.sparkSession, path, stored=docs)

@@ -41,7 +41,7 @@ def analyze(text: str) -> tuple[str, ...]:
 
 
 def parse(text: str, default_field: str = "text") -> tuple[tuple[Clause, ...], ...]:
-    """Groups of clauses; refuses empty queries, open quotes, dangling ORs and groups that only exclude."""
+    """Groups of clauses; refuses empty queries, open quotes, dangling ORs, signs and colons without a word, empty phrases and groups that only exclude."""
     if text.count('"') % 2:
         raise QueryError("a quote is not closed")
     groups: list[list[Clause]] = [[]]
@@ -49,6 +49,8 @@ def parse(text: str, default_field: str = "text") -> tuple[tuple[Clause, ...], .
         if word == "OR" and not sign and not field:
             groups.append([])
             continue
+        if not (phrase.strip() or word.strip("+-:")) or word.startswith(":") or word.endswith(":"):
+            raise QueryError("a sign, a colon or a pair of quotes needs a word")
         groups[-1].append(Clause(field or default_field, phrase or word, bool(phrase), sign == "+", sign == "-"))
     if groups == [[]]:
         raise QueryError("the query is empty")

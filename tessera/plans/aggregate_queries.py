@@ -7,23 +7,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text as T
+from tessera.operators.index import stored_index
+from tessera.operators.ranking import running_sum
+from tessera.operators.sketches import bloom_bits, bloom_members, bloom_size, hash64
 from tessera.plans.catalog import register
-from tessera.plans.oracles import INDEX
+from tessera.plans.oracles import INDEX, terms_sql
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _index(spark, sf_dir):
+    return stored_index(_table(spark, sf_dir, "documents"), {"text": F.col("text")})
+
+
 def _terms(spark, sf_dir):
-    """doc_id, term and tf: counted within the row, so one row a document and term is shuffled."""
-    rows = _table(spark, sf_dir, "documents").select("doc_id", F.explode(T.analyzed_terms(F.col("text"))).alias("term"))
-    return rows.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """doc_id, term and tf, from the documents' stored index."""
+    return _index(spark, sf_dir).postings.select("doc_id", "term", "tf")
 
 
-def hash64(value: Column) -> Column:
-    """The first eight bytes of SHA-256 as an unsigned number."""
-    return F.conv(F.substring(F.sha2(value, 256), 1, 16), 16, 10).cast("decimal(20,0)")
+def _counts(spark, sf_dir):
+    """term, df and tf over all documents."""
+    return _index(spark, sf_dir).term_stats().select("term", "df", F.col("total_tf").alias("tf"))
 
 
 _HASH = "('0x' || sha256({0})[1:16])::UBIGINT"
@@ -32,7 +38,7 @@ _HASH = "('0x' || sha256({0})[1:16])::UBIGINT"
 @register("corpus_shape", f"""WITH {INDEX}, t AS (SELECT term, sum(tf) AS tf FROM post GROUP BY term) SELECT sum(tf)::BIGINT AS occurrences, count(*) AS vocabulary,
 round_even((SELECT sum(tf) FROM (SELECT tf FROM t ORDER BY tf DESC LIMIT 10)) / sum(tf), 4) AS top_share, round_even(count(*) FILTER (tf = 1) / count(*), 4) AS hapax_share FROM t""")
 def corpus_shape(spark, sf_dir):
-    totals = _terms(spark, sf_dir).groupBy("term").agg(F.sum("tf").alias("tf"))
+    totals = _counts(spark, sf_dir)
     top = totals.orderBy(F.desc("tf")).limit(10).agg(F.sum("tf").alias("top"), F.lit(1).alias("_one"))
     whole = totals.agg(F.sum("tf").alias("occurrences"), F.count(F.lit(1)).alias("vocabulary"), F.sum((F.col("tf") == 1).cast("long")).alias("once"), F.lit(1).alias("_one"))
     both = whole.join(F.broadcast(top), "_one")
@@ -41,7 +47,7 @@ def corpus_shape(spark, sf_dir):
 
 @register("df_histogram", f"WITH {INDEX} SELECT CASE WHEN df = 1 THEN '1' WHEN df <= 10 THEN '2-10' WHEN df <= 100 THEN '11-100' ELSE '100+' END AS bucket, count(*) AS terms FROM (SELECT term, count(*) AS df FROM post GROUP BY term) GROUP BY 1")
 def df_histogram(spark, sf_dir):
-    df = _terms(spark, sf_dir).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = _counts(spark, sf_dir)
     bucket = F.when(F.col("df") == 1, "1").when(F.col("df") <= 10, "2-10").when(F.col("df") <= 100, "11-100").otherwise("100+")
     return df.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("terms"))
 
@@ -51,25 +57,49 @@ def vocabulary_growth(spark, sf_dir):
     """Distinct terms by every hundred documents: each term counts where it is first seen."""
     firsts = _terms(spark, sf_dir).groupBy("term").agg(F.min("doc_id").alias("first"))
     steps = firsts.groupBy(F.floor(F.col("first") / 100).alias("step")).agg(F.count(F.lit(1)).alias("n"))
-    return steps.select("step", F.sum("n").over(Window.orderBy("step")).alias("vocabulary"))  # a row a step
+    return running_sum(steps, "step", "n", "vocabulary").select("step", "vocabulary")
 
 
-@register("stopword_nominate", f"WITH {INDEX} SELECT term, round_even(count(*) / any_value(n), 4) AS share FROM post CROSS JOIN stats GROUP BY term HAVING count(*) / any_value(n) >= 0.4")
+@register("stopword_nominate", f"""WITH {INDEX}, q AS (SELECT DISTINCT unnest({terms_sql()}) AS term FROM conversations WHERE role = 'user')
+SELECT term, round_even(df / n, 4) AS share, term IN (SELECT term FROM q) AS vetoed FROM (SELECT term, count(*) AS df FROM post GROUP BY term) CROSS JOIN stats WHERE df / n >= 0.6 OR (df / n >= 0.2 AND term IN (SELECT term FROM q))""")
 def stopword_nominate(spark, sf_dir):
-    """Terms in most documents."""
-    n = _table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n"), F.lit(1).alias("_one"))
-    df = _terms(spark, sf_dir).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.lit(1).alias("_one"))
-    return df.join(F.broadcast(n), "_one").where("df / n >= 0.4").select("term", F.bround(F.col("df") / F.col("n"), 4).alias("share"))
+    """Terms in three fifths of the documents, and whether users' own words veto them; terms of a fifth are shown where they do."""
+    index = _index(spark, sf_dir)
+    users = _table(spark, sf_dir, "conversations").where("role = 'user'").select(F.explode(T.analyzed_terms(F.col("text"))).alias("term")).distinct()
+    share = F.col("df") / F.col("n_docs")
+    often = index.term_stats().join(F.broadcast(index.field_stats()), "field").where(share >= 0.2).select("term", share.alias("s"))
+    asked = often.join(users.withColumn("vetoed", F.lit(True)), "term", "left").withColumn("vetoed", F.coalesce("vetoed", F.lit(False)))
+    return asked.where("s >= 0.6 or vetoed").select("term", F.bround("s", 4).alias("share"), "vetoed")
+
+
+def _register_of(member: Column) -> tuple[Column, Column]:
+    """The register of 64 that a member falls in, and the place of the first one bit in the other 58 bits of its hash."""
+    bits = F.lpad(F.conv(F.substring(F.sha2(member, 256), 1, 16), 16, 2), 64, "0")
+    place = F.instr(F.substring(bits, 1, 58), "1")
+    return F.conv(F.substring(bits, 59, 6), 2, 10).cast("int"), F.when(place == 0, 59).otherwise(place)
+
+
+_RHO = f"SELECT event_type, user_id, (h & 63)::INT AS register, CASE WHEN h >> 6 = 0 THEN 59 ELSE 59 - length(bin(h >> 6)) END::INT AS rho FROM (SELECT event_type, user_id, {_HASH.format('user_id::VARCHAR')} AS h FROM events)"
 
 
-@register("hll_registers", f"SELECT register, max(rho)::INT AS rho FROM (SELECT (h & 63)::INT AS register, CASE WHEN h >> 6 = 0 THEN 59 ELSE 58 - floor(log2((h >> 6)::DOUBLE))::INT END AS rho FROM (SELECT {_HASH.format('user_id::VARCHAR')} & 4503599627370495 AS h FROM events)) GROUP BY register".replace("59 ELSE 58", "47 ELSE 46"))
+@register("hll_registers", f"SELECT register, max(rho) AS rho FROM ({_RHO}) GROUP BY register")
 def hll_registers(spark, sf_dir):
-    """The registers of a distinct counter: for each of 64 the longest run of leading zeros; they merge by maximum."""
-    h = F.conv(F.substring(F.sha2(F.col("user_id").cast("string"), 256), 4, 13), 16, 10).cast("long").bitwiseAND((1 << 52) - 1)
-    rest = F.shiftright("h", 6)
-    rho = F.when(rest == 0, 47).otherwise(46 - F.floor(F.log2(rest.cast("double"))).cast("int"))
-    seen = _table(spark, sf_dir, "events").select(h.alias("h")).select(F.col("h").bitwiseAND(63).cast("int").alias("register"), rho.alias("rho"))
-    return seen.groupBy("register").agg(F.max("rho").alias("rho"))
+    """The registers of a distinct counter: for each of 64 the first one bit that came latest; they merge by maximum."""
+    register, rho = _register_of(F.col("user_id").cast("string"))
+    return _table(spark, sf_dir, "events").select(register.alias("register"), rho.alias("rho")).groupBy("register").agg(F.max("rho").alias("rho"))
+
+
+@register("hll_estimate", f"""WITH r AS (SELECT event_type, register, max(rho) AS rho FROM ({_RHO}) GROUP BY ALL), e AS (SELECT event_type, 0.709 * 64 * 64 / (sum(power(2.0, -rho)) + 64 - count(*)) AS raw FROM r GROUP BY event_type)
+SELECT event_type, n <= 192 AS exact, CASE WHEN n <= 192 THEN n ELSE round_even(raw, 0)::BIGINT END AS users FROM e JOIN (SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY 1) USING (event_type)""")
+def hll_estimate(spark, sf_dir):
+    """Distinct users by event type: counted exactly up to 192, estimated from the registers beyond."""
+    events = _table(spark, sf_dir, "events")
+    register, rho = _register_of(F.col("user_id").cast("string"))
+    registers = events.select("event_type", register.alias("register"), rho.alias("rho")).groupBy("event_type", "register").agg(F.max("rho").alias("rho"))
+    raw = registers.groupBy("event_type").agg((0.709 * 64 * 64 / (F.sum(F.pow(F.lit(2.0), -F.col("rho"))) + 64 - F.count(F.lit(1)))).alias("raw"))
+    few = events.select("event_type", "user_id").distinct().groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    both = raw.join(few, "event_type")
+    return both.select("event_type", (F.col("n") <= 192).alias("exact"), F.when(F.col("n") <= 192, F.col("n")).otherwise(F.bround("raw", 0).cast("long")).alias("users"))
 
 
 @register("distinct_users", "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
@@ -77,6 +107,7 @@ def distinct_users(spark, sf_dir):
     return _table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
 
 
+# Upper edges of the histogram's buckets.
 EDGES = (1, 2, 5, 10, 20, 50, 100, 200, 500, 1000, 2000, 5000)
 
 
@@ -112,12 +143,30 @@ def noisy_counts(spark, sf_dir):
     return counts.select("term", F.greatest(F.lit(10), F.bround((F.col("n") + jitter) / 10.0, 0) * 10).cast("long").alias("published"))
 
 
-@register("bloom_bits", f"SELECT count(DISTINCT {_HASH.format('k::VARCHAR || ' + chr(39) + '|' + chr(39) + ' || doc_id')} % 9586) AS bits_set FROM documents, (SELECT unnest([0,1,2,3,4,5,6]) AS k)")
-def bloom_bits(spark, sf_dir):
-    """Bits that a filter for 1,000 keys at one false hit in a hundred sets: 9,586 bits, seven hashes."""
-    keys = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("k"))
-    bit = hash64(F.concat_ws("|", F.col("k").cast("string"), F.col("doc_id").cast("string"))) % 9586
-    return keys.agg(F.count_distinct(bit).alias("bits_set"))
+_BLOOM = f"""s AS (SELECT greatest(1, count(*)) AS n, greatest(8, ceil(-greatest(1, count(*)) * ln(0.01) / (ln(2) * ln(2))))::BIGINT AS bits FROM documents), z AS (SELECT n, bits, greatest(1, round_even(bits / n * ln(2), 0))::BIGINT AS hashes FROM s),
+k AS (SELECT doc_id, unnest(generate_series(0, hashes - 1)) AS k, bits FROM documents CROSS JOIN z), b AS (SELECT DISTINCT {_HASH.format("k::VARCHAR || '|' || doc_id::VARCHAR")} % bits::UBIGINT AS bit FROM k)"""
+
+
+@register("bloom_filter", f"""WITH {_BLOOM}, p AS (SELECT i, unnest(generate_series(0, hashes - 1)) AS k, bits FROM generate_series(0, 499) t(i) CROSS JOIN z),
+q AS (SELECT i, bool_and({_HASH.format("k::VARCHAR || '|never-added-' || i::VARCHAR")} % bits::UBIGINT IN (SELECT bit FROM b)) AS hit FROM p GROUP BY i)
+SELECT bits, hashes, (SELECT count(*) FROM b) AS bits_set, (SELECT count(*) FILTER (hit) FROM q) AS false_hits FROM z""")
+def bloom_filter(spark, sf_dir):
+    """A filter sized for the documents at one false hit in a hundred: its bits and hashes, the bits set, and the hits of 500 keys that were never added."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"))
+    n = docs.count()
+    bits, hashes = bloom_size(n, 0.01)
+    held = bloom_bits(docs, "key", bits, hashes)
+    probes = spark.range(500).select(F.concat(F.lit("never-added-"), F.col("id").cast("string")).alias("key"))
+    hits = bloom_members(probes, "key", held, bits, hashes)
+    return held.agg(F.lit(bits).cast("long").alias("bits"), F.lit(hashes).cast("long").alias("hashes"), F.count(F.lit(1)).alias("bits_set")).join(F.broadcast(hits.agg(F.count(F.lit(1)).alias("false_hits"))))
+
+
+@register("bloom_members", "SELECT count(*) AS found FROM documents WHERE doc_id IS NOT NULL")
+def bloom_members_query(spark, sf_dir):
+    """Every key that was added is found."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key")).where("key is not null")
+    bits, hashes = bloom_size(docs.count(), 0.01)
+    return bloom_members(docs, "key", bloom_bits(docs, "key", bits, hashes), bits, hashes).agg(F.count(F.lit(1)).alias("found"))
 
 
 @register("cohens_kappa", """SELECT round_even((o - e) / (1 - e), 4) AS kappa, n FROM (SELECT avg((a = b)::INT) AS o, avg(a) * avg(b) + (1 - avg(a)) * (1 - avg(b)) AS e, count(*) AS n
@@ -127,7 +176,7 @@ def cohens_kappa(spark, sf_dir):
     j = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents"), "doc_id").select(F.col("quality").alias("a"), (F.col("n_chars") >= 400).cast("int").alias("b"))
     s = j.agg(F.avg((F.col("a") == F.col("b")).cast("int")).alias("o"), F.avg("a").alias("x"), F.avg("b").alias("y"), F.count(F.lit(1)).alias("n"))
     e = F.col("x") * F.col("y") + (1 - F.col("x")) * (1 - F.col("y"))
-    return s.select(F.bround((F.col("o") - e) / (1 - e), 4).alias("kappa"), "n")
+    return s.select(F.bround(F.try_divide(F.col("o") - e, 1 - e), 4).alias("kappa"), "n")
 
 
 @register("precision_recall", """SELECT round_even(count(*) FILTER (p AND q) / count(*) FILTER (p), 4) AS precision, round_even(count(*) FILTER (p AND q) / count(*) FILTER (q), 4) AS recall
@@ -135,7 +184,8 @@ FROM (SELECT n_chars >= 400 AS p, quality = 1 AS q FROM labels JOIN documents US
 def precision_recall(spark, sf_dir):
     j = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents"), "doc_id").select((F.col("n_chars") >= 400).alias("p"), (F.col("quality") == 1).alias("q"))
     both = F.count(F.when(F.col("p") & F.col("q"), 1))
-    return j.agg(F.bround(both / F.count(F.when(F.col("p"), 1)), 4).alias("precision"), F.bround(both / F.count(F.when(F.col("q"), 1)), 4).alias("recall"))
+    share = lambda c: F.bround(F.try_divide(both, F.count(F.when(F.col(c), 1))), 4)
+    return j.agg(share("p").alias("precision"), share("q").alias("recall"))
 
 
 @register("mean_reciprocal_rank", """SELECT round_even(avg(coalesce(1.0 / first, 0)), 4) AS mrr FROM (SELECT source, min(r) FILTER (quality = 1) AS first
@@ -154,12 +204,14 @@ def growth_fit(spark, sf_dir):
     return years.agg(F.bround(F.regr_slope("n", "p"), 4).alias("slope"), F.bround(F.regr_intercept("n", "p"), 4).alias("intercept"))
 
 
-@register("seasonal", """SELECT month, year, n, round_even(avg(n) OVER (PARTITION BY month ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 4) AS expected FROM (SELECT month(o_orderdate)::INT AS month, year(o_orderdate)::INT AS year, count(*) AS n FROM orders GROUP BY ALL)""")
+@register("seasonal", """SELECT month, year, n, round_even(expected, 4) AS expected, coalesce(n > 2 * expected, FALSE) AS spike FROM (SELECT month, year, n, avg(n) OVER (PARTITION BY month ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS expected
+FROM (SELECT month(o_orderdate)::INT AS month, year(o_orderdate)::INT AS year, count(*) AS n FROM orders GROUP BY ALL))""")
 def seasonal(spark, sf_dir):
-    """Each month against the mean of the same month in earlier years."""
+    """Each month against the mean of the same month in earlier years; a spike is over twice as much."""
     months = _table(spark, sf_dir, "orders").groupBy(F.month("o_orderdate").alias("month"), F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("month").orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
-    return months.withColumn("expected", F.bround(F.avg("n").over(before), 4))
+    before = Window.partitionBy("month").orderBy("year").rowsBetween(Window.unboundedPreceding, -1)  # a row a year
+    expected = months.withColumn("e", F.avg("n").over(before))
+    return expected.select("month", "year", "n", F.bround("e", 4).alias("expected"), F.coalesce(F.col("n") > 2 * F.col("e"), F.lit(False)).alias("spike"))
 
 
 @register("taxonomy_rollup", """SELECT r_name, n_name, count(*) AS customers, round_even(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)""")
@@ -204,10 +256,10 @@ def shard_route(spark, sf_dir):
     return _table(spark, sf_dir, "documents").groupBy((hash64(F.col("doc_id").cast("string")) % 8).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("ab_split", f"SELECT arm, count(*) AS users FROM (SELECT DISTINCT user_id, CASE WHEN {_HASH.format(chr(39) + 'ranking' + chr(39) + ' || chr(0) || user_id')}::DOUBLE / 18446744073709551616.0 < 0.3 THEN 'treatment' ELSE 'control' END AS arm FROM events) GROUP BY arm".replace(" || chr(0) || ", " || '#' || "))
+@register("ab_split", "SELECT arm, count(*) AS users FROM (SELECT DISTINCT user_id, CASE WHEN ('0x' || sha256('ranking\\x00'::BLOB || user_id::VARCHAR::BLOB)[1:16])::UBIGINT::DOUBLE / 18446744073709551616.0 < 0.3 THEN 'treatment' ELSE 'control' END AS arm FROM events) GROUP BY arm")
 def ab_split(spark, sf_dir):
     """Users dealt to arms by a hash of experiment and user."""
-    share = hash64(F.concat(F.lit("ranking#"), F.col("user_id").cast("string"))).cast("double") / 18446744073709551616.0
+    share = hash64(F.concat(F.lit("ranking\x00"), F.col("user_id").cast("string"))).cast("double") / 18446744073709551616.0
     users = _table(spark, sf_dir, "events").select("user_id").distinct()
     return users.groupBy(F.when(share < 0.3, "treatment").otherwise("control").alias("arm")).agg(F.count(F.lit(1)).alias("users"))
 

@@ -26,7 +26,7 @@ def register(name: str, oracle: str | None = None):
 
 def _load() -> None:
     """Imports every module that registers queries."""
-    from tessera.plans import aggregate_queries, graph_queries, log_queries, search_queries, text_queries  # noqa: F401
+    from tessera.plans import aggregate_queries, experiment_queries, graph_queries, ingest_queries, log_queries, search_queries, serving_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

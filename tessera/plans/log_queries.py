@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.index import stored_index
+from tessera.operators.ranking import values_at
 from tessera.plans.catalog import register
+from tessera.plans.oracles import INDEX
 from tessera.streaming import logs
 
 
@@ -27,8 +30,11 @@ def _sessions(spark, sf_dir):
 
 @register("sessions", f"WITH {_MARKED} SELECT user_id, session::BIGINT AS session, count(*) AS n_events, (max(epoch_us(ts)) - min(epoch_us(ts))) AS length_us FROM s GROUP BY ALL")
 def sessions(spark, sf_dir):
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    return _sessions(spark, sf_dir).groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n_events"), (F.max(micros) - F.min(micros)).alias("length_us"))
+    """Sessions numbered by user; events merge into sessions first, so the numbering sees a row a session."""
+    found = logs.sessions(_events(spark, sf_dir))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    number = F.row_number().over(Window.partitionBy("user").orderBy("start")).cast("long")
+    return found.select(F.col("user").alias("user_id"), number.alias("session"), "n_events", (micros("end") - micros("start") - 30 * 60 * 1_000_000).alias("length_us"))
 
 
 @register("session_windows", f"WITH {_MARKED} SELECT n_events, count(*) AS sessions FROM (SELECT user_id, session, count(*) AS n_events FROM s GROUP BY ALL) GROUP BY n_events")
@@ -40,8 +46,8 @@ def session_windows(spark, sf_dir):
 @register("session_success", f"WITH {_MARKED} SELECT round_even(avg((last = 'purchase')::INT), 4) AS success, count(*) AS sessions FROM (SELECT user_id, session, arg_max(event_type, (ts, event_id)) AS last FROM s GROUP BY ALL)")
 def session_success(spark, sf_dir):
     """The share of sessions whose last event is a purchase."""
-    last = _sessions(spark, sf_dir).groupBy("user_id", "session").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last"))
-    return last.agg(F.bround(F.avg((F.col("last") == "purchase").cast("int")), 4).alias("success"), F.count(F.lit(1)).alias("sessions"))
+    last = logs.sessions(_events(spark, sf_dir), F.max(F.struct("ts", "event_id", "event_type")).alias("last"))
+    return last.agg(F.bround(F.avg((F.col("last.event_type") == "purchase").cast("int")), 4).alias("success"), F.count(F.lit(1)).alias("sessions"))
 
 
 @register("reformulations", f"WITH {_MARKED} SELECT event_type, next_type, count(*) AS n FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id, session ORDER BY ts, event_id) AS next_type FROM s) WHERE event_type = 'error' AND next_type <> 'error' GROUP BY ALL HAVING count(*) >= 3")
@@ -86,24 +92,31 @@ def click_rates(spark, sf_dir):
     return _events(spark, sf_dir).groupBy(place.alias("position")).agg((clicks / F.count(F.lit(1))).alias("rate")).select("position", F.bround(F.col("rate") * (1 + F.col("position")), 4).alias("corrected"))
 
 
-@register("slow_percentiles", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
+@register(
+    "slow_percentiles",
+    "SELECT event_type, v[floor(0.5 * (len(v) - 1) + 0.5)::INT + 1] AS p50, v[floor(0.95 * (len(v) - 1) + 0.5)::INT + 1] AS p95 FROM (SELECT event_type, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY event_type)",
+)
 def slow_percentiles(spark, sf_dir):
-    """Nearest-rank percentiles."""
-    exact = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)")
-    return _events(spark, sf_dir).groupBy("event_type").agg(exact(0.5).alias("p50"), exact(0.95).alias("p95"))
+    """Exact values at the nearest places to a half and to 95 in a hundred of each type's events, halves up."""
+    return values_at(_events(spark, sf_dir), "event_type", "value", {"p50": 0.5, "p95": 0.95})
 
 
-@register("week_over_week", """SELECT week, n, coalesce(n - lag(n) OVER (ORDER BY week), 0) AS change FROM (SELECT date_diff('day', DATE '2024-01-01', ts::DATE) // 7 AS week, count(*) AS n FROM events GROUP BY 1)""")
+@register("week_over_week", """SELECT week, n, change, CASE WHEN before IS NULL OR abs(change) <= 0.05 * before THEN 'steady' WHEN change > 0 THEN 'better' ELSE 'worse' END AS direction
+FROM (SELECT *, coalesce(n - before, 0) AS change FROM (SELECT *, lag(n) OVER (ORDER BY week) AS before FROM (SELECT date_diff('day', DATE '2024-01-01', ts::DATE) // 7 AS week, count(*) AS n FROM events GROUP BY 1)))""")
 def week_over_week(spark, sf_dir):
+    """Events by week against the week before; moves of up to a twentieth are steady."""
     weeks = _events(spark, sf_dir).groupBy(F.floor(F.datediff("ts", F.lit("2024-01-01")) / 7).alias("week")).agg(F.count(F.lit(1)).alias("n"))
-    return weeks.withColumn("change", F.coalesce(F.col("n") - F.lag("n").over(Window.orderBy("week")), F.lit(0)))  # a row a week
+    before = weeks.withColumn("before", F.lag("n").over(Window.orderBy("week")))  # a row a week
+    change = F.coalesce(F.col("n") - F.col("before"), F.lit(0))
+    direction = F.when(F.col("before").isNull() | (F.abs(change) <= 0.05 * F.col("before")), "steady").when(change > 0, "better").otherwise("worse")
+    return before.select("week", "n", change.alias("change"), direction.alias("direction"))
 
 
 @register("user_quota", """SELECT day::VARCHAR AS day, count(*) AS refused FROM (SELECT ts::DATE AS day, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS r FROM events) WHERE r > 3 GROUP BY day""")
 def user_quota(spark, sf_dir):
-    """Requests beyond a daily quota of three a user."""
-    nth = F.row_number().over(Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id"))
-    return _events(spark, sf_dir).select(F.to_date("ts").cast("string").alias("day"), nth.alias("r")).where("r > 3").groupBy("day").agg(F.count(F.lit(1)).alias("refused"))
+    """Requests beyond a daily quota of three a user; how many they are needs counts alone."""
+    days = _events(spark, sf_dir).groupBy("user_id", F.to_date("ts").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return days.where("n > 3").groupBy("day").agg(F.sum(F.col("n") - 3).alias("refused"))
 
 
 @register("ranking_moves", """WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents QUALIFY r <= 20), b AS (SELECT doc_id, row_number() OVER (ORDER BY length(text) - doc_id DESC, doc_id) AS r FROM documents QUALIFY r <= 20)
@@ -143,13 +156,25 @@ def train_test_split(spark, sf_dir):
     return _events(spark, sf_dir).groupBy(side.alias("side")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
 
 
-@register("corpus_drift", "SELECT round_even(abs(b - a) / a, 4) AS length_drift, abs(b - a) / a > 0.2 AS breach FROM (SELECT avg(n_chars) FILTER (doc_id % 2 = 0) AS a, avg(n_chars) FILTER (doc_id % 2 = 1) AS b FROM documents)")
+_PROFILE = """(SELECT doc_id % 2 AS half, sum(tf) / count(DISTINCT doc_id) AS avg_length, 1000 * count(DISTINCT term) / sum(tf) AS vocab_per_thousand FROM post GROUP BY 1) JOIN (SELECT half, max(c) / sum(c) AS top_term_share FROM (SELECT doc_id % 2 AS half, term, sum(tf) AS c FROM post GROUP BY ALL) GROUP BY half) USING (half)"""
+
+
+@register(
+    "corpus_drift",
+    f"""WITH {INDEX}, r AS (SELECT * FROM {_PROFILE}), m AS (SELECT unnest(['avg_length', 'vocab_per_thousand', 'top_term_share']) AS metric, unnest([a.avg_length, a.vocab_per_thousand, a.top_term_share]) AS base, unnest([b.avg_length, b.vocab_per_thousand, b.top_term_share]) AS seen, unnest([0.2, 0.3, 0.5]) AS tolerance
+FROM r a JOIN r b ON a.half = 0 AND b.half = 1) SELECT metric, round_even((seen - base) / base, 4) AS moved, abs((seen - base) / base) > tolerance AS breach FROM m""",
+)
 def corpus_drift(spark, sf_dir):
-    """The mean length of one half of the corpus against the other's, and whether it breaks a tolerance of a fifth."""
-    half = lambda k: F.avg(F.when(F.col("doc_id") % 2 == k, F.col("n_chars")))
-    means = spark.read.parquet(f"{sf_dir}/documents.parquet").agg(half(0).alias("a"), half(1).alias("b"))
-    drift = F.abs(F.col("b") - F.col("a")) / F.col("a")
-    return means.select(F.bround(drift, 4).alias("length_drift"), (drift > 0.2).alias("breach"))
+    """Mean length, vocabulary and the commonest term's share of one half of the corpus against the other's, and which break their tolerances."""
+    posts = stored_index(spark.read.parquet(f"{sf_dir}/documents.parquet"), {"text": F.col("text")}).postings.withColumn("half", F.col("doc_id") % 2)
+    by_term = posts.groupBy("half", "term").agg(F.sum("tf").alias("c")).groupBy("half").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("terms"), F.max("c").alias("most"))
+    docs = posts.select("half", "doc_id").distinct().groupBy("half").agg(F.count(F.lit(1)).alias("docs"))
+    shape = by_term.join(docs, "half").select("half", (F.col("total") / F.col("docs")).alias("avg_length"), (1000 * F.col("terms") / F.col("total")).alias("vocab_per_thousand"), (F.col("most") / F.col("total")).alias("top_term_share"))
+    tolerances = {"avg_length": 0.2, "vocab_per_thousand": 0.3, "top_term_share": 0.5}
+    side = lambda k, m: F.max(F.when(F.col("half") == k, F.col(m)))
+    both = shape.agg(F.array(*(F.struct(F.lit(m).alias("metric"), side(0, m).alias("base"), side(1, m).alias("seen"), F.lit(t).alias("tolerance")) for m, t in tolerances.items())).alias("rows"))
+    moved = (F.col("r.seen") - F.col("r.base")) / F.col("r.base")
+    return both.select(F.explode("rows").alias("r")).select("r.metric", F.bround(moved, 4).alias("moved"), (F.abs(moved) > F.col("r.tolerance")).alias("breach"))
 
 
 @register("funnel", "SELECT count(*) FILTER (v) AS viewed, count(*) FILTER (v AND c) AS clicked, count(*) FILTER (v AND c AND p) AS bought FROM (SELECT user_id, ts::DATE AS day, bool_or(event_type = 'view') AS v, bool_or(event_type = 'click') AS c, bool_or(event_type = 'purchase') AS p FROM events GROUP BY ALL)")

@@ -8,10 +8,10 @@ STOP_LIST = ", ".join(f"'{w}'" for w in STOPWORDS)
 STEM_SQL = "regexp_replace({0}, '^(.{{3,}}?)(?:" + "|".join(SUFFIXES) + ")$', '\\1')"
 
 
-def terms_sql(column: str = "text") -> str:
-    """The analyzed terms of a text column, as a list."""
-    words = f"list_transform(regexp_extract_all({column}, '[\\p{{L}}\\p{{N}}]+'), lambda w: lower(w))"
-    return f"list_transform(list_filter({words}, lambda w: w NOT IN ({STOP_LIST})), lambda w: {STEM_SQL.format('w')})"
+def terms_sql(column: str = "text", w: str = "w") -> str:
+    """The analyzed terms of a text column, as a list; ``w`` names the lambdas' variable."""
+    words = f"list_transform(regexp_extract_all({column}, '[\\p{{L}}\\p{{N}}]+'), lambda {w}: lower({w}))"
+    return f"list_transform(list_filter({words}, lambda {w}: {w} NOT IN ({STOP_LIST})), lambda {w}: {STEM_SQL.format(w)})"
 
 
 #: docs(doc_id, lang, source, n_chars, terms), post(doc_id, term, tf), stats(n, avgdl)
