@@ -104,9 +104,37 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.nda
     return _forest(i, j, len(a) + (0 if own else len(b))) if len(i) > len(a) else (i, j)
 
 
-def fingerprint_links(prints: DataFrame, lanes: int, radius: int, parts: int, step: int, band: str | None, tile_rows: int = TILE_ROWS) -> DataFrame:
+def nearest_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of a its nearest row of b within the radius, and the other way round; inside a for each row its nearest earlier and its nearest later one. Rows (i, j) and distances; i is the row whose neighbour j is, and rows of b count on from a's."""
+    own = b is None
+    other = a if own else b
+    best, near = np.full(len(other), 255, np.uint8), np.zeros(len(other), np.int64)
+    step, found = max(1, (1 << 19) // max(1, len(other))), []
+    for at in range(0, len(a), step):
+        part = a[at : at + step]
+        apart = np.bitwise_count(part[:, None, 0] ^ other[None, :, 0])
+        for lane in range(1, a.shape[1]):
+            apart += np.bitwise_count(part[:, None, lane] ^ other[None, :, lane])
+        if own:
+            apart[np.arange(at, at + len(part))[:, None] >= np.arange(len(other))[None, :]] = 255
+        least = apart.min(axis=0)
+        closer = np.nonzero((least <= radius) & (least < best))[0]
+        best[closer], near[closer] = least[closer], apart[:, closer].argmin(axis=0) + at
+        least = apart.min(axis=1)
+        rows = np.nonzero(least <= radius)[0]
+        found.append((rows + at, apart[rows].argmin(axis=1) + (0 if own else len(a)), least[rows]))
+    j = np.nonzero(best <= radius)[0]
+    found.append((j + (0 if own else len(a)), near[j], best[j]))
+    i, j, d = (np.concatenate(x) for x in zip(*found))
+    return i, j, d.astype(np.int64)
+
+
+def fingerprint_links(prints: DataFrame, lanes: int, radius: int, parts: int, step: int, band: str | None, tile_rows: int = TILE_ROWS, nearest: bool = False) -> DataFrame:
     """Links (u, v) between rows of ``prints`` (fp, lane0.., and the band column): a forest of each tile pair.
 
+    With ``nearest`` the links are (u, v, d): of each tile pair, for each row u of
+    either tile its nearest row v of the other one, and their distance.
+
     The tile key holds, for each of ``parts`` equal parts of the bits, the
     population count in bins of ``step``. Distances within the radius need the
     counts of all parts to differ by the radius at most in sum.
@@ -153,20 +181,25 @@ def fingerprint_links(prints: DataFrame, lanes: int, radius: int, parts: int, st
 
     def run(batches):
         for batch in batches:
-            us, vs = [], []
+            us, vs, ds = [], [], []
             for r in range(batch.num_rows):
                 fa, ba, fb, bb = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in range(4))
                 a, b = ba.view(np.uint64).reshape(-1, lanes), bb.view(np.uint64).reshape(-1, lanes)
                 same = batch.column(4)[r].as_py()
-                i, j = tile_links(a, None if same else b, radius)
+                if nearest:
+                    i, j, d = nearest_links(a, None if same else b, radius)
+                    ds.append(d)
+                else:
+                    i, j = tile_links(a, None if same else b, radius)
                 if len(i):
                     names = fa if same else np.concatenate([fa, fb])
                     us.append(names[i])
                     vs.append(names[j])
             if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+                columns = {"u": np.concatenate(us), "v": np.concatenate(vs)} | ({"d": np.concatenate(ds)} if nearest else {})
+                yield pa.RecordBatch.from_pydict({k: pa.array(c) for k, c in columns.items()})
 
-    return pairs.mapInArrow(run, "u long, v long")
+    return pairs.mapInArrow(run, "u long, v long, d long" if nearest else "u long, v long")
 
 
 def near_duplicates(
