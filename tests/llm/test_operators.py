@@ -300,6 +300,77 @@ def test_pii(odd, none):
     assert hits / (hits + wrong) > 0.95 and hits / (hits + missed) > 0.95
 
 
+# Sentences that no template makes, with what they hold.
+WRITTEN = [
+    ("Please ask Dr. Helen Moreau about the results.", {("name", "Helen Moreau")}),
+    ("Our contact: Jonas Whitfield, second floor.", {("name", "Jonas Whitfield")}),
+    ("Frau Ilse Brandt wohnt hier seit Jahren.", {("name", "Ilse Brandt")}),
+    ("You can reach us by phone 415-555-0132 after noon.", {("local_phone", "415-555-0132")}),
+    ("Call (212) 555-0187 for the front desk.", {("local_phone", "(212) 555-0187")}),
+    ("tel 030.555.0199 is the office line", {("local_phone", "030.555.0199")}),
+    ("His SSN 078-05-1120 was on the form.", {("id_number", "078-05-1120")}),
+    ("passport X4512890 expired last year", {("id_number", "X4512890")}),
+    ("write to helen (at) example (dot) org for details", {("spelled_email", "helen (at) example (dot) org")}),
+    ("or mail jonas [at] widgets [dot] net today", {("spelled_email", "jonas [at] widgets [dot] net")}),
+    ("They moved to 221 Baker Street last May.", {("address", "221 Baker Street")}),
+    ("Visit 18 Harbor Road, near the port.", {("address", "18 Harbor Road")}),
+    ("Mrs. O'Brien signed it.", {("name", "O'Brien")}),
+    ("Monsieur Lefèvre et Madame Roux sont venus.", {("name", "Lefèvre"), ("name", "Roux")}),
+    ("Deliver to 7 Elm Avenue before ten.", {("address", "7 Elm Avenue")}),
+    ("In 2024 the price rose 12 percent to 1,250 dollars.", set()),
+    ("Version 2.0.1 of the tool was released on 2024-03-04 at 10:30.", set()),
+    ("See chapter 12, page 345, and figure 6.", set()),
+    ("A dot at the end; look at the dot on the map.", set()),
+    ("The street was empty and the road was long.", set()),
+]
+
+
+def test_field_on_written_sentences():
+    model = pii.trained()
+    wrong = missed = 0
+    for text, want in WRITTEN:
+        got = {(pii.KINDS[r], text[a:b]) for a, r, b in pii.field_spans([text], model, pii._Numbers(model)).get(0, [])}
+        wrong, missed = wrong + len(got - want), missed + len(want - got)
+    assert wrong <= 1 and missed <= 1
+
+
+def test_masks_on_odd_rows(odd):
+    rows = sorted(map(str, odd.collect()))
+    assert sorted(map(str, pii.mask_documents(odd).collect())) == rows  # nothing to mask in them
+    marked = odd.limit(1).selectExpr("* except (text)", "'mail a@b.cd now' as text").select(odd.columns)
+    assert pii.mask_documents(marked).first()["text"] == "mail <EMAIL> now"
+
+
+def test_base_secret_spans_match_plain_patterns(spark):
+    """Random mixtures of parts of secrets: the base spans are those of the patterns, leftmost and without overlap."""
+    assign = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    plain = (("assign", assign, lambda m: len(m[2]) >= 8), ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16), ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 32))
+    rng = random.Random(13)
+    parts = ["password", "PassWd", "api_key", "apikey", "token", "secret", '"', "'", " ", "  ", ":", "=", "AKIA", "AKIAAKIA", "A1B2C3D4E5F6", "0" * 31, "deadbeef" * 4, "é", "\ue000", "abcdefgh", "short", "\n", "+/_.=-", "😀"]
+    texts = [None, "", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(400))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kinds = [k for k, *_ in plain]
+    for r in secret_scan.secret_scan(docs).collect():
+        text = texts[r["doc_id"]] or ""
+        want = sorted((m.start(), kinds.index(k), k, m.end()) for k, pattern, fits in plain for m in pattern.finditer(text) if fits(m))
+        assert [(s["start"], s["rank"], s["kind"], s["end"]) for s in r["spans"] if s["kind"] in kinds] == want, text
+
+
+def test_planted_credentials_are_linked(spark):
+    """Parts of one credential in prose: all are found near each other, none alone."""
+    rng = random.Random(14)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    rows, want = [], {}
+    for k in range(60):
+        ident, secret, host = "AKIA" + "".join(rng.choice("ABCDEF234567") for _ in range(8)), "aB3" + "".join(rng.choice("abcdefABCDEF0123456789") for _ in range(21)), f"host=db{k}.example.com"
+        held = [(ident, secret), (ident, secret, host), (secret,), (ident,), (host, ident)][k % 5]
+        rows.append((k, " ".join(x for part in held for x in (prose(12), part)) + " " + prose(12)))
+        want[k] = {"weak_id": 1, "weak_secret": 1, "endpoint": int(host in held)} if k % 5 < 2 else {"weak_id": 0, "weak_secret": 0, "endpoint": 0}
+    for r in secret_scan.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found = Counter(s["kind"] for s in r["spans"])
+        assert {k: found[k] for k in ("weak_id", "weak_secret", "endpoint")} == want[r["doc_id"]], rows[r["doc_id"]]
+
+
 def test_base_pii_spans():
     kinds = lambda t: [(pii.KINDS[r], t[a:b]) for a, r, b in pii.base_spans(t)]
     assert kinds("a@b.c_d@e.f 1.2.3.4.5.6.7.8 999.1.1.1") == [("email", "a@b.c"), ("email", "_d@e.f"), ("ip", "1.2.3.4"), ("ip", "5.6.7.8")]
