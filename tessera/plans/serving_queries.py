@@ -130,14 +130,14 @@ _PLACES = f"{INDEX}, pos AS (SELECT doc_id, unnest(terms) AS term, generate_subs
 
 @register(
     "proximity",
-    f"""WITH {_PLACES}, w AS (SELECT a.doc_id, s.p AS first, greatest(min(a.p), min(b.p), min(c.p)) AS last FROM (SELECT doc_id, p FROM pos WHERE term IN ('anea', 'ou', 'que')) s
-JOIN pos a ON a.doc_id = s.doc_id AND a.term = 'anea' AND a.p >= s.p JOIN pos b ON b.doc_id = s.doc_id AND b.term = 'ou' AND b.p >= s.p JOIN pos c ON c.doc_id = s.doc_id AND c.term = 'que' AND c.p >= s.p GROUP BY a.doc_id, s.p),
+    f"""WITH {_PLACES}, w AS (SELECT a.doc_id, s.p AS first, greatest(min(a.p), min(b.p), min(c.p)) AS last FROM (SELECT doc_id, p FROM pos WHERE term IN ('anea', 'eriner', 'thinth')) s
+JOIN pos a ON a.doc_id = s.doc_id AND a.term = 'anea' AND a.p >= s.p JOIN pos b ON b.doc_id = s.doc_id AND b.term = 'eriner' AND b.p >= s.p JOIN pos c ON c.doc_id = s.doc_id AND c.term = 'thinth' AND c.p >= s.p GROUP BY a.doc_id, s.p),
 t AS (SELECT doc_id, first, last, row_number() OVER (PARTITION BY doc_id ORDER BY last - first, first) AS r FROM w)
 SELECT doc_id, first::INT AS first, last::INT AS last, round_even(CASE WHEN last - first - 2 >= 8 THEN 0 ELSE 1 - (last - first - 2) / 8 END, 6) AS bonus FROM t WHERE r = 1""",
 )
 def proximity(spark, sf_dir):
     """The tightest stretch of each text that holds three words, and the bonus for it: from one, where they are neighbours, to none, where eight words too many lie between."""
-    words = ("anea", "ou", "que")
+    words = TERMS
     rows = _index(spark, sf_dir).postings.where(F.col("term").isin(*words))
     held = rows.groupBy("doc_id").agg(*(F.flatten(F.collect_list(F.when(F.col("term") == w, F.col("positions")))).alias(w) for w in words))
     held = held.where(" and ".join(f"size({w}) > 0" for w in words)).select("doc_id", S.tightest_window([F.col(w) for w in words]).alias("w"))

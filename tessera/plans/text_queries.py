@@ -138,7 +138,7 @@ def bigrams(spark, sf_dir):
     return turns.select(F.explode(pairs).alias("bigram")).groupBy("bigram").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
 
 
-_TYPED = "(SELECT DISTINCT term[1:1] || term[3:] AS word FROM t WHERE length(term) >= 6 AND df >= 5)"
+_TYPED = "(SELECT DISTINCT term[1:1] || term[3:] AS word FROM t WHERE length(term) >= 6 AND df >= 50)"
 # DuckDB counts edits in bytes, so letters of two bytes are exchanged for marks of one.
 _DISTANCE = "levenshtein(translate(word, 'äöüßéèêëàâáíîïóôúûùçñ', '!#$%&()*+,./:;<=>?@[]'), translate(term, 'äöüßéèêëàâáíîïóôúûùçñ', '!#$%&()*+,./:;<=>?@[]'))"
 _GRAMS = "list_transform(generate_series(1, length({0})), lambda i: (chr(2) || {0} || chr(3))[i:i+2])"
@@ -151,8 +151,8 @@ m AS (SELECT word, term, {_DISTANCE}::INT AS distance, df AS popularity FROM q J
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, popularity DESC, term)::INT AS rank FROM m) WHERE rank <= 3""",
 )
 def suggest_terms(spark, sf_dir):
-    """What to offer for words that lack their second letter: vocabulary with a common trigram, at most two edits away, popular first."""
+    """What to offer for common words that lack their second letter: vocabulary with a common trigram, at most two edits away, popular first."""
     known = _vocabulary(spark, sf_dir)
-    typed = known.where((F.length("term") >= 6) & (F.col("df") >= 5)).select(F.concat(F.substring("term", 1, 1), F.substring("term", 3, 1 << 20)).alias("word"))
+    typed = known.where((F.length("term") >= 6) & (F.col("df") >= 50)).select(F.concat(F.substring("term", 1, 1), F.substring("term", 3, 1 << 20)).alias("word"))
     unknown = typed.distinct().join(known.select(F.col("term").alias("word")), "word", "left_anti")
     return suggestions(unknown, known.select("term", F.col("df").alias("popularity")))
