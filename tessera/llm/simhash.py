@@ -153,8 +153,8 @@ def fingerprint_links(prints: DataFrame, lanes: int, radius: int, parts: int, st
         *((p / step).cast("int").alias(f"p{k}") for k, p in enumerate(pops)),
     )
     key = ["band", *(f"p{k}" for k in range(parts))]
-    # At most bins ** parts rows a band: the population counts bound the table, not the input.
-    sizes = keyed.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("subs"))
+    # At most bins ** parts rows a band: the population counts bound the table, not the input, so it is broadcast.
+    sizes = F.broadcast(keyed.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("subs")))
     tiles = (
         keyed.join(sizes, key)
         .withColumn("sub", F.pmod(F.xxhash64("fp"), F.col("subs")).cast("int"))
